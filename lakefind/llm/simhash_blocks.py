@@ -102,7 +102,8 @@ def similar_fingerprints(nodes: DataFrame, *, distance: int, blocks: int) -> Dat
     first = equal.bitwiseAND(F.element_at(upto, F.col("l.c") + 1)) == F.element_at(chosen, F.col("l.c") + 1)
     near = F.bit_count(x) <= distance
     on = (F.col("l.k") == F.col("r.k")) & (F.col("l.c") == F.col("r.c")) & (F.col("l.f") < F.col("r.f"))
-    return rows.alias("l").join(rows.alias("r"), on & near & first).select(F.col("l.f").alias("a"), F.col("r.f").alias("b"))
+    # the keys are many times the fingerprints, which Spark's size estimates leave out: never broadcast them
+    return rows.alias("l").join(rows.alias("r").hint("merge"), on & near & first).select(F.col("l.f").alias("a"), F.col("r.f").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
