@@ -137,7 +137,7 @@ def components(edges: DataFrame) -> DataFrame:
             return out
 
 
-def duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", distance: int = 7, blocks: int = 10) -> DataFrame:
+def duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", distance: int = 8, blocks: int = 11) -> DataFrame:
     """doc_id and duplicate_of, the smallest doc_id of its group, of every document but the groups' first ones."""
     prints, _ = written(fingerprint_table(docs, doc_id=doc_id, text=text))
     firsts, _ = written(prints.groupBy("f").agg(F.min("d").alias("first"), F.count_distinct("d").alias("n")))
@@ -150,7 +150,7 @@ def duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", distance: int =
     return prints.join(small_enough(table, path), "f").where(F.col("d") != F.col("duplicate_of")).select(F.col("d").alias("doc_id"), "duplicate_of").distinct()
 
 
-def drop_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", distance: int = 7, blocks: int = 10) -> DataFrame:
+def drop_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", distance: int = 8, blocks: int = 11) -> DataFrame:
     """The documents with one of each near-duplicate group; columns as they were."""
     key = fresh("lf_gone", docs)
     gone, path = written(duplicates(docs, doc_id=doc_id, text=text, distance=distance, blocks=blocks).select(F.col("doc_id").alias(key)))
