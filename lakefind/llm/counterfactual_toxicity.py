@@ -92,19 +92,26 @@ class Model:
         return self.bias + np.bincount(key // len(self.words), self.weights[key % len(self.words)], n)
 
 
-def _features(texts, vocabulary: np.ndarray | None, min_df: int, extra: np.ndarray):
-    """Distinct (text, word) pairs as (row numbers, word numbers, vocabulary)."""
-    owner, h, _ = _pairs(texts)
-    words, inv = np.unique(h, return_inverse=True)
-    key = np.unique(owner * max(1, len(words)) + inv)
-    row, word = key // max(1, len(words)), key % max(1, len(words))
-    if vocabulary is None:
-        df = np.bincount(word, minlength=len(words))
-        vocabulary = words[(df >= min_df) | np.isin(words, extra)]
-    at = np.searchsorted(vocabulary, words)
-    at = np.where((at < len(vocabulary)) & (vocabulary[np.minimum(at, max(0, len(vocabulary) - 1))] == words), at, -1) if len(vocabulary) else np.full(len(words), -1)
-    use = at[word] >= 0
-    return row[use], at[word[use]], vocabulary
+def _features(texts: list[str], min_df: int, extra: np.ndarray):
+    """Distinct (text, word) pairs as (row numbers, word numbers, vocabulary), words in min_df texts or extra."""
+    rows, hashes, i = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], 0
+    while i < len(texts):  # few texts at a time: long ones have many pairs before they are made distinct
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(texts[j]) <= 1 << 20):
+            size += len(texts[j])
+            j += 1
+        owner, h, n = _pairs(pa.array(texts[i:j], pa.large_string()))
+        words, inv = np.unique(h, return_inverse=True)
+        key = np.unique(owner * max(1, len(words)) + inv)
+        rows.append((key // max(1, len(words)) + i).astype(np.int32))
+        hashes.append(words[key % max(1, len(words))])
+        i = j
+    row, h = np.concatenate(rows), np.concatenate(hashes)
+    words, df = np.unique(h, return_counts=True)
+    vocabulary = np.union1d(words[df >= min_df], extra)
+    at = np.searchsorted(vocabulary, h)
+    use = (at < len(vocabulary)) & (vocabulary[np.minimum(at, max(0, len(vocabulary) - 1))] == h) if len(vocabulary) else np.zeros(len(h), bool)
+    return row[use].astype(np.int64), at[use], vocabulary
 
 
 def counterfactuals(row: np.ndarray, word: np.ndarray, vocabulary: np.ndarray, sets: list[np.ndarray]):
@@ -146,10 +153,7 @@ def fit(texts: list[str], labels: list[int], *, penalty: float = 1.0, l1: float
     sets = [tk.hash_words(list(s)) for s in identity_terms]
     identity = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
     # a swap may bring a term that no text has: all terms of the sets are features
-    row, word, vocabulary = _features(pa.array(texts, pa.large_string()), None, min_df, identity)
-    full = np.union1d(vocabulary, identity)
-    word = np.searchsorted(full, vocabulary)[word] if len(vocabulary) else word
-    vocabulary = full
+    row, word, vocabulary = _features(texts, min_df, identity)
     n, m = len(texts), len(vocabulary)
     swap, sf, ss, ns = counterfactuals(row, word, vocabulary, sets)
     weight = np.where(y > 0.5, 0.5 / (y > 0.5).sum(), 0.5 / (y <= 0.5).sum())
