@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bounded_packing, counterfactual_toxicity, simhash_blocks, site_lines, suffix_decontamination
+from . import (
+    bounded_packing,
+    chat_parts,
+    counterfactual_toxicity,
+    license_join,
+    mih_topk,
+    rlz_substrings,
+    simhash_blocks,
+    site_lines,
+    suffix_decontamination,
+    template_extraction,
+)
 from .tokens import TOKEN_RE
 
 
@@ -38,13 +49,42 @@ def op4_simhash_blocks(spark, sf_dir):
     return simhash_blocks.duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_template_extraction(spark, sf_dir):
+    """The slots of every page."""
+    return template_extraction.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_chat_parts(spark, sf_dir):
+    """Every conversation, formatted."""
+    return chat_parts.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op7_mih_topk(spark, sf_dir):
+    """The ten nearest codes of every embedding."""
+    return mih_topk.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op8_rlz_substrings(spark, sf_dir):
+    """Spans of at least 50 tokens that an earlier document has."""
+    return rlz_substrings.duplicate_spans(table(spark, sf_dir, "documents"))
+
+
 def op9_bounded_packing(spark, sf_dir):
     """The training windows that all documents are packed into."""
     return bounded_packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_license_join(spark, sf_dir):
+    """Every line that meets a license template."""
+    return license_join.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_decontamination, op2_site_lines, op3_counterfactual_toxicity, op4_simhash_blocks, op9_bounded_packing)}
+    ops = (
+        op1_suffix_decontamination, op2_site_lines, op3_counterfactual_toxicity, op4_simhash_blocks, op5_template_extraction,
+        op6_chat_parts, op7_mih_topk, op8_rlz_substrings, op9_bounded_packing, op10_license_join,
+    )
+    return {f.__name__: f for f in ops}
 
 
 _TOKENS = f"regexp_extract_all(lower(text), '{TOKEN_RE}')"
@@ -77,5 +117,36 @@ FROM documents d LEFT JOIN kept USING (doc_id)
 """
 
 
+SQL_7 = """
+WITH longest AS (SELECT max(len(embedding)) AS n FROM embeddings),
+codes AS (SELECT vec_id, min(c) AS c FROM (
+          SELECT vec_id, list_aggregate(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), 'string_agg', '') AS c
+          FROM embeddings, longest WHERE vec_id IS NOT NULL AND len(embedding) = n) GROUP BY vec_id),
+pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbour_id, hamming(a.c, b.c) AS distance FROM codes a JOIN codes b ON a.vec_id <> b.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM pairs)
+SELECT query_id, neighbour_id, CAST(distance AS INTEGER) AS distance, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10
+"""
+
+SQL_8 = f"""
+WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+g AS (SELECT doc_id, p - 1 AS p, md5(array_to_string(w[p:p+49], ' ')) AS h FROM d, unnest(range(1, len(w) - 48)) AS u(p) WHERE len(w) >= 50),
+f AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY h) AS first FROM g),
+r AS (SELECT *, CASE WHEN p > lag(p) OVER o + 50 THEN 1 WHEN lag(p) OVER o IS NULL THEN 1 ELSE 0 END AS new FROM f WHERE first < doc_id
+      WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM r)
+SELECT doc_id, CAST(min(p) AS INTEGER) AS start_token, CAST(max(p) + 50 AS INTEGER) AS end_token, min(first) AS first_doc_id FROM s GROUP BY doc_id, span
+"""
+
+_VALUES = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in license_join.TEMPLATES.items())
+SQL_10 = f"""
+WITH t AS (SELECT template, list_distinct(regexp_extract_all(lower(text), '{TOKEN_RE}')) AS w FROM (VALUES {_VALUES}) AS v(template, text)),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, i, list_distinct(regexp_extract_all(lower(line), '{TOKEN_RE}')) AS w FROM l),
+c AS (SELECT doc_id, i, template, len(list_intersect(b.w, t.w)) AS common, len(t.w) AS size FROM b JOIN t ON list_has_any(b.w, t.w))
+SELECT doc_id, CAST(i AS INTEGER) AS line, template, CAST(common AS INTEGER) AS common_tokens, common / size AS containment
+FROM c WHERE common >= greatest(1, ceil(0.8 * size - 1e-9))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_decontamination": SQL_1, "op2_site_lines": SQL_2}
+    return {"op1_suffix_decontamination": SQL_1, "op2_site_lines": SQL_2, "op7_mih_topk": SQL_7, "op8_rlz_substrings": SQL_8, "op10_license_join": SQL_10}

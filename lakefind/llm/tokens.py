@@ -219,6 +219,15 @@ def hash_words(words: list[str]) -> np.ndarray:
     return t.hash
 
 
+def string_hashes(a: pa.Array) -> np.ndarray:
+    """Hashes of whole strings, as they are."""
+    off, data = _buffers(as_strings(a))
+    if not len(off):
+        return np.zeros(0, np.uint64)
+    off, base = off - off[0], int(off[0])
+    return range_hash(prefix_hash(_BYTE[data[base : base + int(off[-1])]]), off[:-1], off[1:])
+
+
 def text_hashes(texts: list[str]) -> list[np.ndarray]:
     """Token hash sequences of a few texts."""
     t = tokenize(pa.array(texts, pa.large_string()))
