@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens as tk
-from .common import col, column_of, fresh, slices, small_enough, written
+from .common import col, column_of, fresh, slices, written
 from .suffix_decontamination import suffix_array
 
 _PIECE = 2 << 20
@@ -157,9 +157,10 @@ def duplicate_spans(docs: DataFrame, *, doc_id="doc_id", text="text", min_tokens
 
     # one place for each different segment of an anchor, by document
     picks = shared.where(F.col("many") & (F.col("d") == F.col("first.d")) & (F.col("p") == F.col("first.p"))).select("a", "s", "d", "p", "e").distinct()
-    picks, path = written(picks.groupBy("d").agg(F.collect_list(F.struct("a", "s", "p", "e")).alias("at")))
+    picks = picks.groupBy("d").agg(F.collect_list(F.struct("a", "s", "p", "e")).alias("at"))
     key = fresh("k", narrow)
-    chosen = narrow.join(small_enough(picks.withColumnRenamed("d", key), path), F.col("d") == F.col(key)).select("d", "t", "at")
+    # picks grow with the texts: the same shuffled join at every size
+    chosen = narrow.join(picks.withColumnRenamed("d", key).hint("merge"), F.col("d") == F.col(key)).select("d", "t", "at")
     block = T.StructType([T.StructField("a", T.LongType()), T.StructField("s", T.LongType()), T.StructField("d", id_type), T.StructField("o", T.IntegerType()), T.StructField("w", T.BinaryType())])
 
     def cut(batches):
