@@ -105,6 +105,10 @@ def _ranges(a: Agg) -> list[tuple[str, float | None, float | None]]:
     return [(r.get("key") or f"{show(r.get('from'))}-{show(r.get('to'))}", r.get("from"), r.get("to")) for r in given]
 
 
+def _inside(lo: float | None, hi: float | None):
+    return lambda v: (v >= lo if lo is not None else F.lit(True)) & (v < hi if hi is not None else F.lit(True)) & v.isNotNull()
+
+
 def _keys(c: Corpus, a: Agg) -> Column:
     """The bucket keys of a document: an array, for several values or overlapping ranges, else one key or null."""
     f = a.options["field"]
@@ -132,7 +136,7 @@ def _keys(c: Corpus, a: Agg) -> Column:
             x = micros(c, f) / 1000 if kind == "date" else c.column(f)
             parts = []
             for key, lo, hi in _ranges(a):
-                ok = lambda v, lo=lo, hi=hi: (v >= lo if lo is not None else F.lit(True)) & (v < hi if hi is not None else F.lit(True)) & v.isNotNull()
+                ok = _inside(lo, hi)
                 parts.append(F.when(F.exists(x, ok) if many else ok(x), F.lit(key)))
             return F.array_compact(F.array(*parts))
         case _:

@@ -55,6 +55,10 @@ def _value(x: Column, kind: str) -> Column:
     return F.when(t.startswith("ARRAY") | t.startswith("OBJECT"), F.to_json(x)).otherwise(text)
 
 
+def _reader(kind: str):
+    return lambda x: _value(x, kind)
+
+
 def build(docs: DataFrame, schema: Schema) -> DataFrame:
     """Typed documents of the columns ``_id`` and ``_source``; other columns are kept.
 
@@ -73,7 +77,7 @@ def build(docs: DataFrame, schema: Schema) -> DataFrame:
         if many:
             items = F.when(array, F.try_variant_get(v, "$", "array<variant>")).when(v.isNotNull(), F.array(v))
             items = F.filter(items, lambda x: x.isNotNull() & (F.schema_of_variant(x) != "VOID"))
-            c = F.transform(items, lambda x, kind=kind: _value(x, kind))
+            c = F.transform(items, _reader(kind))
             bad = F.exists(c, lambda x: x.isNull())
         else:
             c = _value(v, kind)
@@ -115,8 +119,8 @@ def lenient(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def column_names(schema: Schema) -> list[str]:
-    """The columns of a built document without ``_error``."""
-    return ["_id", "_source", *schema.fields, *[TOKENS + f for f, k in schema.fields.items() if k == "text"]]
+    """The columns of a built document without ``_error``, quoted."""
+    return [quoted(c) for c in empty_struct(schema).names]
 
 
 def empty_struct(schema: Schema):

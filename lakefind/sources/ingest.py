@@ -6,7 +6,8 @@ import re
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.errors import AnalysisException, PySparkException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,10 @@ def read_ndjson_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
     return lines.where((F.trim("_source") != "") & F.schema_of_variant(v).startswith("OBJECT"))
 
 
+def _why(e: Exception) -> str:
+    return str(e.java_exception.getMessage() if isinstance(e, Py4JJavaError) else e).splitlines()[0]
+
+
 def _checked(df: DataFrame, path: str) -> DataFrame:
     if not df.columns or df.isEmpty():
         raise IngestError(f"no rows in {path}")
@@ -71,8 +76,8 @@ def read_file(spark: SparkSession, path: str, format: str | None = None) -> Data
             case "csv":
                 return _checked(spark.read.option("mode", "FAILFAST").csv(path, header=True, inferSchema=True), path)
         return _checked(spark.read.parquet(path), path)
-    except (AnalysisException, PySparkException) as e:
-        raise IngestError(f"{path}: {str(e).splitlines()[0]}") from e
+    except (PySparkException, Py4JJavaError) as e:
+        raise IngestError(f"{path}: {_why(e)}") from e
 
 
 def read_lines(spark: SparkSession, lines: Iterable[str], format: str) -> DataFrame:
@@ -94,8 +99,8 @@ def read_lines(spark: SparkSession, lines: Iterable[str], format: str) -> DataFr
             else:
                 df = spark.read.option("mode", "FAILFAST").csv(rows.rdd.map(lambda r: r[0]), header=True, inferSchema=True)
         return _checked(df, "the lines")
-    except (AnalysisException, PySparkException) as e:
-        raise IngestError(f"lines: {str(e).splitlines()[0]}") from e
+    except (PySparkException, Py4JJavaError) as e:
+        raise IngestError(f"lines: {_why(e)}") from e
 
 
 def ingest(spark: SparkSession, source: str | list[str], target: str, *, format: str | None = None, mode: str = "overwrite") -> int | None:

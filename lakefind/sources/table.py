@@ -46,6 +46,11 @@ class Changes:
     removed: list[str]
 
 
+def _data_file(name: str) -> str:
+    """A data file's path in its table: data/<write>/<file>."""
+    return "/".join(name.split("/")[-3:])
+
+
 class VersionedTable:
     """A table in a directory of any file system Spark can write to."""
 
@@ -164,15 +169,14 @@ class VersionedTable:
         return self.commit(self.write_files(kept), hit, expected=s.version)
 
     def _files_with(self, rows: DataFrame) -> list[str]:
-        names = rows.select(F.input_file_name().alias("f")).distinct().collect()
-        return ["data/" + r["f"].split("/data/", 1)[1] for r in names]
+        return [_data_file(r["f"]) for r in rows.select(F.input_file_name().alias("f")).distinct().collect()]
 
     def files_with_ids(self, s: Snapshot, ids: DataFrame, id: str) -> list[str]:
         """The files of a snapshot that have one of the ids."""
         schema = T.StructType.fromJson(s.schema)
         rows = self.files(s.files, schema).select(F.col(f"`{id}`").cast("string").alias("i"), F.input_file_name().alias("f"))
         gone = ids.select(F.col(f"`{id}`").cast("string").alias("g"))
-        return ["data/" + r["f"].split("/data/", 1)[1] for r in rows.join(gone, F.col("i") == F.col("g"), "left_semi").select("f").distinct().collect()]
+        return [_data_file(r["f"]) for r in rows.join(gone, F.col("i") == F.col("g"), "left_semi").select("f").distinct().collect()]
 
     def changes(self, since: int, until: int | None = None) -> Changes:
         """Files that differ between two versions; since < 0 means everything is new."""
