@@ -3,8 +3,8 @@
 A logistic model over the words of a text and their beginnings (so that an
 insult counts with every ending) is fitted on labelled documents.  For
 every labelled text that names a group of people, counterfactual texts are made
-by swapping each identity term for the other terms of its set, and the squared
-change of the score is added to the loss.  What the labels say about the
+by swapping each identity term (with its stems) for the other terms of its set,
+and the squared change of the score is added to the loss.  What the labels say about the
 neighbourhood of a group name then cannot be learned as a property of the name,
 which lowers false positives on neutral mentions.
 
@@ -27,7 +27,7 @@ Defined results
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -54,15 +54,14 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
 _PIECE = 4 << 20
 
 #: Lengths in bytes of the word beginnings that are features besides the words.
-STEMS = (4, 5, 6)
+STEMS = (5, 6, 7, 8)
 
 #: A text that scores this much is rejected.
 THRESHOLD = 0.3
 
 
-def _pairs(texts) -> tuple[np.ndarray, np.ndarray, int]:
+def _pairs(t: tk.Tokens) -> tuple[np.ndarray, np.ndarray, int]:
     """(text number, feature hash) of every word and stem, and the number of texts."""
-    t = tk.tokenize(texts, STEMS)
     owner = t.owners()
     rows, hashes = [owner], [t.hash]
     for s in t.stems:
@@ -79,11 +78,10 @@ class Model:
     words: np.ndarray  # sorted token hashes
     weights: np.ndarray
     bias: float
-    identity: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
 
     def logits(self, texts) -> np.ndarray:
         """The logit of each text of an Arrow string column."""
-        owner, h, n = _pairs(texts)
+        owner, h, n = _pairs(tk.tokenize(texts, STEMS))
         if not len(self.words) or not len(h):
             return np.full(n, self.bias)
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
@@ -92,70 +90,97 @@ class Model:
         return self.bias + np.bincount(key // len(self.words), self.weights[key % len(self.words)], n)
 
 
-def _features(texts: list[str], min_df: int, extra: np.ndarray):
-    """Distinct (text, word) pairs as (row numbers, word numbers, vocabulary), words in min_df texts or extra."""
+def _term_features(sets) -> list[dict[int, frozenset[int]]]:
+    """For each set of terms, the features (word and stems) of each term, by the term's hash."""
+    out = []
+    for terms in sets:
+        t = tk.tokenize(pa.array(list(terms), pa.large_string()), STEMS)
+        if len(t.hash) != len(terms):
+            raise ValueError("each identity term must be exactly one token")
+        out.append({int(h): frozenset([int(h), *(int(s[i]) for s in t.stems if s[i])]) for i, h in enumerate(t.hash)})
+    return out
+
+
+def _swaps(t: tk.Tokens, sets: list[dict[int, frozenset[int]]], base: int) -> tuple[list, list, list, int]:
+    """Changed features of the swapped texts of a few texts.
+
+    For each text and identity term in it, one swap for every other term of the
+    set: lists (swap number from base, feature hash, +1 or -1) of what the swap
+    adds to and takes from the text's features.  A stem that another word of the
+    text has too stays.
+    """
+    swap, feature, sign, n = [], [], [], base
+    terms = np.unique(np.array([h for s in sets for h in s], np.uint64))
+    every = np.unique(np.array([f for s in sets for fs in s.values() for f in fs], np.uint64))
+    if not len(terms) or not len(t.hash):
+        return swap, feature, sign, n
+    owner = t.owners()
+    for r in np.unique(owner[np.isin(t.hash, terms)]):
+        lo, hi = t.doc[r], t.doc[r + 1]
+        words, at = np.unique(t.hash[lo:hi], return_index=True)
+        seen = np.concatenate([words, *(s[lo:hi][at] for s in t.stems)])
+        seen, times = np.unique(seen[np.isin(seen, every)], return_counts=True)
+        count = dict(zip(seen.tolist(), times.tolist()))
+        have = set(words[np.isin(words, terms)].tolist())
+        for s in sets:
+            for a in s.keys() & have:
+                for b in s.keys() - {a}:
+                    gone = [f for f in s[a] - s[b] if count.get(f) == 1]
+                    new = [f for f in s[b] - s[a] if f not in count]
+                    swap += [n] * (len(gone) + len(new))
+                    feature += gone + new
+                    sign += [-1.0] * len(gone) + [1.0] * len(new)
+                    n += 1
+    return swap, feature, sign, n
+
+
+def _features(texts: list[str], min_df: int, sets: list[dict[int, frozenset[int]]]):
+    """Distinct (text, feature) pairs as (row numbers, feature numbers, vocabulary), and the swaps as (number, feature, sign, how many).
+
+    The vocabulary has the features of min_df texts, and all of the identity
+    terms: a swap may bring a term that no text has.
+    """
     rows, hashes, i = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], 0
+    swap, feature, sign, ns = [], [], [], 0
     while i < len(texts):  # few texts at a time: long ones have many pairs before they are made distinct
         j, size = i, 0
         while j < len(texts) and (j == i or size + len(texts[j]) <= 1 << 20):
             size += len(texts[j])
             j += 1
-        owner, h, n = _pairs(pa.array(texts[i:j], pa.large_string()))
+        t = tk.tokenize(pa.array(texts[i:j], pa.large_string()), STEMS)
+        owner, h, n = _pairs(t)
         words, inv = np.unique(h, return_inverse=True)
         key = np.unique(owner * max(1, len(words)) + inv)
         rows.append((key // max(1, len(words)) + i).astype(np.int32))
         hashes.append(words[key % max(1, len(words))])
+        more = _swaps(t, sets, ns)
+        ns = more[3]
+        for all_, part in zip((swap, feature, sign), more):
+            all_ += part
         i = j
     row, h = np.concatenate(rows), np.concatenate(hashes)
     words, df = np.unique(h, return_counts=True)
+    extra = np.array([f for s in sets for fs in s.values() for f in fs], np.uint64)
     vocabulary = np.union1d(words[df >= min_df], extra)
     at = np.searchsorted(vocabulary, h)
     use = (at < len(vocabulary)) & (vocabulary[np.minimum(at, max(0, len(vocabulary) - 1))] == h) if len(vocabulary) else np.zeros(len(h), bool)
-    return row[use].astype(np.int64), at[use], vocabulary
-
+    places = np.searchsorted(vocabulary, np.array(feature, np.uint64))
+    return row[use].astype(np.int64), at[use], vocabulary, (np.array(swap, np.int64), places, np.array(sign), ns)
 
-def counterfactuals(row: np.ndarray, word: np.ndarray, vocabulary: np.ndarray, sets: list[np.ndarray]):
-    """Changed features of the swapped texts.
 
-    For each text and identity term in it, one swap for every other term of the
-    set: arrays (swap number, word number, +1 or -1) of what the swap adds to
-    and takes from the text's words.
-    """
-    number = {int(h): i for i, h in enumerate(vocabulary)}
-    members = [np.array([number[int(h)] for h in s if int(h) in number]) for s in sets]
-    have: dict[int, set[int]] = {}
-    known = np.concatenate([m for m in members if len(m)]) if any(len(m) for m in members) else np.zeros(0, int)
-    for r, w in zip(*(x[np.isin(word, known)] for x in (row, word))):
-        have.setdefault(int(r), set()).add(int(w))
-    swap, feature, sign, n = [], [], [], 0
-    for r in sorted(have):
-        for m in members:
-            for a in m:
-                if int(a) not in have[r]:
-                    continue
-                for b in m:
-                    if b != a:
-                        swap.append(n), feature.append(int(a)), sign.append(-1.0)
-                        if int(b) not in have[r]:
-                            swap.append(n), feature.append(int(b)), sign.append(1.0)
-                        n += 1
-    return np.array(swap, np.int64), np.array(feature, np.int64), np.array(sign), n
-
-
-def fit(texts: list[str], labels: list[int], *, penalty: float = 1.0, l1: float = 1e-3, min_df: int = 3, steps: int = 150, identity_terms=IDENTITY_TERMS) -> Model | None:
+def fit(texts: list[str], labels: list[int], *, penalty: float = 1.0, l1: float = 0.015, min_df: int = 3, steps: int = 200, identity_terms=IDENTITY_TERMS) -> Model | None:
     """Fit the model: weighted logistic loss + penalty * mean squared score change under swaps + L1.
 
-    FISTA on the smooth part with soft thresholding.  None without both classes.
+    FISTA on the smooth part with soft thresholding.  The L1 weight is l1 over the
+    square root of the toxic texts, as what chance adds to a weight falls with
+    their number.  None without both classes.
     """
     y = np.asarray(labels, float)
     if not (y > 0.5).any() or not (y <= 0.5).any():
         return None
-    sets = [tk.hash_words(list(s)) for s in identity_terms]
-    identity = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
-    # a swap may bring a term that no text has: all terms of the sets are features
-    row, word, vocabulary = _features(texts, min_df, identity)
+    row, word, vocabulary, (swap, sf, ss, ns) = _features(texts, min_df, _term_features(identity_terms))
     n, m = len(texts), len(vocabulary)
-    swap, sf, ss, ns = counterfactuals(row, word, vocabulary, sets)
+    l1 /= np.sqrt((y > 0.5).sum())
     weight = np.where(y > 0.5, 0.5 / (y > 0.5).sum(), 0.5 / (y <= 0.5).sum())
     use_swaps = penalty > 0 and ns > 0
 
@@ -192,7 +217,7 @@ def fit(texts: list[str], labels: list[int], *, penalty: float = 1.0, l1: float
         uw, ub = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
         w, b, t = nw, nb, nt
     kept = np.flatnonzero(w)
-    return Model(vocabulary[kept], w[kept], float(b), identity)
+    return Model(vocabulary[kept], w[kept], float(b))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", label="toxic", max_rows: int = 2000) -> tuple[list[str], list[int]]:
