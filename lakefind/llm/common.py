@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tokens import as_strings
 
@@ -104,6 +105,19 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int) -> Iter
             i = j
 
 
+def keep_rows(docs: DataFrame, text: str, decide, max_bytes: int) -> DataFrame:
+    """The rows for which decide(texts of a slice) is true; columns as they were, whatever their names."""
+    at = docs.columns.index(text)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    schema = T.StructType([T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, docs.schema.fields)])
+
+    def run(batches):
+        for b in slices(batches, names[at], max_bytes):
+            yield b.filter(pa.array(decide(b.column(at)), pa.bool_()))
+
+    return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns)
+
+
 def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

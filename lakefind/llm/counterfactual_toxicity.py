@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens as tk
-from .common import col, column_of, slices
+from .common import col, column_of, keep_rows, slices
 
 #: Sets of identity terms; a term is swapped for every other term of its set.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -268,11 +268,8 @@ def reject_toxic(docs: DataFrame, model: Model | None, *, text="text", threshold
     if model is None:
         return docs
 
-    def run(batches):
-        for b in slices(batches, text, _PIECE):
-            t = column_of(b, text)
-            z = model.logits(t)
-            empty = np.asarray(pc.fill_null(pc.binary_length(t.cast(pa.large_string())), 0)) == 0
-            yield b.filter(pa.array((_sigmoid(z) < threshold) | empty))
+    def stay(t):
+        empty = np.asarray(pc.fill_null(pc.binary_length(t.cast(pa.large_string())), 0)) == 0
+        return (_sigmoid(model.logits(t)) < threshold) | empty
 
-    return docs.mapInArrow(run, docs.schema)
+    return keep_rows(docs, text, stay, _PIECE)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens as tk
-from .common import col, column_of, expand_ranges, slices
+from .common import col, column_of, expand_ranges, keep_rows, slices
 
 #: Bytes of text in a shard (about two million tokens), and of benchmark text in one pass.
 SHARD_BYTES = 12 << 20
@@ -244,12 +244,11 @@ def decontaminate(
     out = docs
     for items in _benchmark_slices(benchmark, item_id, item_text, min_tokens, min_item_tokens, benchmark_bytes):
 
-        def keep(batches, items=items):
-            for b in slices(batches, text, SHARD_BYTES):
-                t = tk.tokenize(column_of(b, text))
-                stay = np.ones(b.num_rows, bool)
-                stay[shard_matches(t.hash, t.doc, items)[0]] = False
-                yield b.filter(pa.array(stay))
+        def clean(texts, items=items):
+            t = tk.tokenize(texts)
+            stay = np.ones(len(texts), bool)
+            stay[shard_matches(t.hash, t.doc, items)[0]] = False
+            return stay
 
-        out = out.mapInArrow(keep, docs.schema)
+        out = keep_rows(out, text, clean, SHARD_BYTES)
     return out
