@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import DocumentNotFound, IndexExists, IndexNotFound, LakefindError, SchemaError, TableError, WriterLocked
-from .operators import aggregations, documents, mutate
+from .operators import aggregations, documents, mutate, terms
 from .operators import search as searching
 from .operators.compaction import MergePolicy, plan
-from .plans.compile import Corpus, quoted
+from .plans.compile import Corpus
+from .plans.nodes import Node, simplify
 from .schema import Schema, infer_json, infer_struct
 from .sources.files import Files
 from .sources.ingest import detect_format, expand, parse_format, read_file, read_ndjson_documents
@@ -143,13 +144,9 @@ class Index:
         if self.config["inferred"]:
             schema = schema.merge(infer_json(docs))[0]
         else:
-            schema = self._arrays(docs, schema)
+            schema = Schema(schema.fields, schema.multi | documents.array_fields(docs, schema))
         return self._apply(docs, None, schema, None, True)
 
-    def _arrays(self, docs: DataFrame, schema: Schema) -> Schema:
-        """The schema with the fields that these documents have arrays in."""
-        return Schema(schema.fields, schema.multi | (infer_json(docs).multi & schema.fields.keys()))
-
     def _apply(self, docs: DataFrame | None, removed: DataFrame | None, schema: Schema, index_version: int | None, strict: bool, segment_size: int = 0) -> int:
         """Removals first, then the documents, in one commit; the number of documents written.
 
@@ -163,17 +160,19 @@ class Index:
         columns = documents.column_names(schema)
         add: dict[str, int] = {}
         if docs is not None:
-            built = documents.build(docs, schema)
+            # built once, into the index's own folder: what is checked is what is written
+            staged = self._stage(documents.build(docs, schema))
             if strict:
-                # what is checked is what is written: the batch is built once, into the index's own folder
-                staged = self._stage(built)
-                good = documents.strict(staged)
+                try:
+                    good = documents.strict(staged)
+                except LakefindError:
+                    self._unstage()
+                    raise
             else:
-                staged = self._stage(built)
                 good, bad = documents.lenient(staged)
                 self.metrics["docs_failed"] += bad.count()
             new = mutate.last_wins(good, seq="__lf_seq").select(*columns)
-            add = self.table.write_files(new, max_rows=segment_size)
+            add = self._write(new, struct, segment_size)
         rows = sum(add.values())
         remove: list[str] = []
         if snapshot and snapshot.files:
@@ -190,7 +189,7 @@ class Index:
                 kept = mutate.delete(self.table.files(remove, struct), ids).select(*columns)
             if remove:
                 before = sum(snapshot.files[p] for p in remove)
-                rest = self.table.write_files(kept)
+                rest = self._write(kept, struct)
                 self.metrics["docs_deleted"] += before - sum(rest.values())
                 add |= rest
         self.table.commit(add, remove, schema=struct, meta=meta, expected=last)
@@ -199,6 +198,12 @@ class Index:
         self.metrics["docs_indexed"] += rows
         return rows
 
+    def _write(self, docs: DataFrame, struct, segment_size: int = 0) -> dict[str, int]:
+        """New segments and their term dictionary."""
+        files = self.table.write_files(docs, max_rows=segment_size)
+        terms.write(self.table, files, struct)
+        return files
+
     def _stage(self, built: DataFrame) -> DataFrame:
         """Built documents, written once: made-up ids and the check then hold for what is stored."""
         import uuid
@@ -284,8 +289,9 @@ class Index:
         self.metrics["docs_failed"] += bad.count()
         last = self.table.version()
         old = self.table.snapshot(last).files if last >= 0 else {}
-        add = self.table.write_files(mutate.last_wins(good, seq="__lf_seq").select(*documents.column_names(schema)))
-        self.table.commit(add, old, schema=documents.empty_struct(schema), meta={"schema": schema.to_dict(), "index_version": v}, expected=last)
+        struct = documents.empty_struct(schema)
+        add = self._write(mutate.last_wins(good, seq="__lf_seq").select(*documents.column_names(schema)), struct)
+        self.table.commit(add, old, schema=struct, meta={"schema": schema.to_dict(), "index_version": v}, expected=last)
         self._unstage()
         return sum(add.values())
 
@@ -304,7 +310,7 @@ class Index:
         struct = documents.empty_struct(self.schema)
         add: dict[str, int] = {}
         for g in groups:
-            add |= self.table.write_files(self.table.files(g, struct).coalesce(1))
+            add |= self._write(self.table.files(g, struct).coalesce(1), struct)
         self.table.commit(add, [p for g in groups for p in g], expected=s.version)
         self.metrics["merges"] += len(groups)
         return len(groups)
@@ -347,20 +353,31 @@ class Index:
         good, _ = documents.lenient(documents.build(docs, schema))
         return mutate.last_wins(good, seq="__lf_seq").select(*documents.column_names(schema)), removed
 
-    def corpus(self, *, include_gap: bool = True, tier: str | None = None) -> Corpus:
-        """What is searched: the index and, by default, the source's newer versions merged in."""
+    def corpus(self, tree: Node | None = None, *, include_gap: bool = True, tier: str | None = None) -> Corpus:
+        """What is searched: the index and, by default, the source's newer versions merged in.
+
+        With a query tree, only the segments that can have a match are read.
+        """
         schema = self.schema
-        if not schema.fields and not self.table.exists() and self.source is None:
-            df = self._base(schema)
-        else:
-            df = self._base(schema)
+        df = self._base(schema)
+        stored = {f: documents.TOKENS + f for f, k in schema.fields.items() if k == "text"}
+        known: dict[tuple, float] = {}
+        whole = None
+        plain = Corpus(df, schema, "_id", "en_stem", {}, stored, True)
+        words = terms.wanted(tree, plain) if tree is not None and self.table.exists() else set()
         gap = self.gap() if include_gap else None
+        if words:
+            s = self.table.snapshot()
+            found = terms.lookup(self.table, s, words)
+            files = terms.candidates(tree, plain, found, set(s.files))
+            known, whole = ({}, df) if gap is not None else (terms.statistics(s, found), df)
+            df = self.table.files(sorted(files), documents.empty_struct(schema))
         if gap is not None:
             df = searching.merged(df, gap[0], gap[1], tier=tier)
+            whole = None if whole is None else searching.merged(whole, gap[0], gap[1])
         elif tier:
             df = df.withColumn(tier, F.lit(1))
-        stored = {f: documents.TOKENS + f for f, k in schema.fields.items() if k == "text"}
-        return Corpus(df, schema, "_id", "en_stem", {}, stored, True)
+        return Corpus(df, schema, "_id", "en_stem", {}, stored, True, known, whole)
 
     def search(self, query: str | None = None, *, filter: str | None = None, dsl: str | dict | None = None, limit: int | None = 20, offset: int = 0, fields: list[str] | None = None, sort: str | None = None, score: bool = False, include_gap: bool = True, source: bool = True) -> DataFrame:
         """The best documents; see :func:`lakefind.operators.search.search`.
@@ -373,7 +390,8 @@ class Index:
         elif fields is not None:
             # a nested field is returned by its top-level name or in full
             fields = [f for f in self.schema.fields if f in fields or f.split(".")[0] in fields]
-        return searching.search(self.corpus(include_gap=include_gap), query, filter=filter, dsl=dsl, limit=limit, offset=offset, fields=fields, sort=sort, score=score)
+        tree = simplify(searching.query_tree(self.schema, query, filter, dsl))
+        return searching.search(self.corpus(tree, include_gap=include_gap), query, filter=filter, dsl=dsl, limit=limit, offset=offset, fields=fields, sort=sort, score=score)
 
     def hits(self, *args, fields: list[str] | None = None, score: bool = False, **options) -> list[dict]:
         """The hits of :meth:`search` as dicts: the documents as they came, cut to the named top-level fields."""
@@ -387,10 +405,12 @@ class Index:
 
     def aggregate(self, aggs: str | dict, query: str | None = None, *, filter: str | None = None, dsl: str | dict | None = None, include_gap: bool = True, exact: bool = False) -> dict:
         """Aggregations over the documents that match; all, without a query."""
-        c = self.corpus(include_gap=include_gap)
-        where = None
+        tree = where = None
         if query is not None or filter is not None or dsl is not None:
-            where = searching.matching(c, searching.query_tree(c.schema, query, filter, dsl))
+            tree = searching.query_tree(self.schema, query, filter, dsl)
+        c = self.corpus(None if tree is None else simplify(tree), include_gap=include_gap)
+        if tree is not None:
+            where = searching.matching(c, tree)
         return aggregations.aggregate(c, aggs, where=where, exact=exact)
 
     def get(self, doc_id, fields: list[str] | None = None) -> dict:
@@ -427,4 +447,4 @@ def to_table(hits: list[dict]) -> str:
     return "\n".join(lines + ["\t".join(show(h.get(n)) for n in names) for h in hits]) + "\n"
 
 
-__all__ = ["Engine", "Index", "LakefindError", "to_ndjson", "to_table", "quoted"]
+__all__ = ["Engine", "Index", "LakefindError", "to_ndjson", "to_table"]

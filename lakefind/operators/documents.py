@@ -69,35 +69,47 @@ def build(docs: DataFrame, schema: Schema) -> DataFrame:
     ok = F.col("__lf_v").isNotNull() & F.schema_of_variant("__lf_v").startswith("OBJECT")
     own = F.try_variant_get("__lf_v", "$['_id']", "string")
     errors = [F.when(~F.coalesce(ok, F.lit(False)), F.lit("the document is no JSON object"))]
-    out = parsed.withColumn("_id", F.coalesce("_id", own, F.expr("uuid()")))
+    values: dict[str, Column] = {"_id": F.coalesce("_id", own, F.expr("uuid()"))}
+    derived: dict[str, Column] = {}
     for name, kind in schema.fields.items():
         v = _leaf(F.col("__lf_v"), name)
-        array = F.schema_of_variant(v).startswith("ARRAY")
+        c = F.col(quoted(name))
         many = name in schema.multi
         if many:
-            items = F.when(array, F.try_variant_get(v, "$", "array<variant>")).when(v.isNotNull(), F.array(v))
+            items = F.when(_is_array(v), F.try_variant_get(v, "$", "array<variant>")).when(v.isNotNull(), F.array(v))
             items = F.filter(items, lambda x: x.isNotNull() & (F.schema_of_variant(x) != "VOID"))
-            c = F.transform(items, _reader(kind))
+            values[name] = F.transform(items, _reader(kind))
             bad = F.exists(c, lambda x: x.isNull())
         else:
-            c = _value(v, kind)
+            values[name] = _value(v, kind)
             bad = v.isNotNull() & c.isNull()
-        out = out.withColumn(name, c)
         if kind == "ip":
-            if many:
-                # the UDF sees one flat column, so arrays of addresses go through their text
-                out = out.withColumn(name, _ip_keys(F.col(quoted(name))))
-                bad = F.exists(F.col(quoted(name)), lambda x: x.isNull())
-            else:
-                out = out.withColumn(name, ip_key(F.col(quoted(name))))
-                bad = v.isNotNull() & F.col(quoted(name)).isNull()
+            derived[name] = _ip_keys(c) if many else ip_key(c)
+        if kind == "text":
+            derived[TOKENS + name] = analysis.tokens(c, "en_stem", many)
         if kind not in ("keyword", "text"):
             errors.append(F.when(bad, F.lit(f"field '{name}': the value is no {kind}")))
-        if kind == "text":
-            out = out.withColumn(TOKENS + name, analysis.tokens(F.col(quoted(name)), "en_stem", many))
+    # all values in one projection, then what is derived from them in a second
+    out = parsed.withColumns(values)
+    if derived:
+        out = out.withColumns(derived)
     return out.withColumn("_error", F.coalesce(*errors)).drop("__lf_v")
 
 
+def _is_array(v: Column) -> Column:
+    return F.schema_of_variant(v).startswith("ARRAY")
+
+
+def array_fields(docs: DataFrame, schema: Schema) -> set[str]:
+    """The fields of the schema that some document has an array in."""
+    if not schema.fields:
+        return set()
+    names = list(schema.fields)
+    v = docs.select(F.try_parse_json("_source").alias("__lf_v"))
+    row = v.agg(*[F.max(_is_array(_leaf(F.col("__lf_v"), f))).alias(f"c{i}") for i, f in enumerate(names)]).first()
+    return {f for f, has in zip(names, row) if has}
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _ip_keys(lists):
     from ..functions.values import _ip_or_none

@@ -69,19 +69,18 @@ def search(
     Ordered by score and id, or by the sort field (missing values last, the
     score is then 0).  ``limit=None`` returns all matches, unordered.
     """
-    node = n.simplify(query_tree(corpus.schema, query, filter, dsl))
-    raw = query_tree(corpus.schema, query, filter, dsl)
+    tree = query_tree(corpus.schema, query, filter, dsl)
     out = [F.col(quoted(corpus.id)).alias("_id")] + [F.col(quoted(c)) for c in projected(corpus, fields)]
     if limit == 0:
         empty = corpus.df.limit(0).select(*out)
         return empty.withColumn("_score", F.lit(0.0)) if score else empty
     order = parse_sort(sort, corpus) if sort else None
-    where = matching(corpus, raw)
+    where = matching(corpus, tree)
     hits = corpus.df.filter(where)
     ranked = order is None and (limit is not None or score)
     key = "__lf_score"
     if ranked:
-        hits = hits.withColumn(key, F.nanvl(Scores(corpus).column(node), F.lit(0.0)))
+        hits = hits.withColumn(key, F.nanvl(Scores(corpus).column(n.simplify(tree)), F.lit(0.0)))
     else:
         hits = hits.withColumn(key, F.lit(0.0))
     if limit is not None:

@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -43,6 +43,8 @@ class Corpus:
     ``columns`` gives fields that are no plain column an expression; struct
     fields are found by their path.  ``stored`` names columns that hold a text
     field's tokens already; ``ip_keys`` says that ip columns are normalised.
+    ``known`` has corpus statistics that need not be computed, and ``whole`` all
+    documents, where ``df`` holds only those that can match.
     """
 
     df: DataFrame
@@ -52,6 +54,8 @@ class Corpus:
     columns: dict[str, Column] = field(default_factory=dict)
     stored: dict[str, str] = field(default_factory=dict)
     ip_keys: bool = False
+    known: dict[tuple, float] = field(default_factory=dict)
+    whole: DataFrame | None = None
 
     def __post_init__(self):
         self.types = {f.name: f.dataType for f in self.df.schema.fields}
@@ -100,7 +104,7 @@ class Corpus:
         return analysis.tokens(self.column(name), self.analyzer_of(name), self.many(name))
 
     def filter(self, where: Column) -> Corpus:
-        return Corpus(self.df.filter(where), self.schema, self.id, self.analyzer, self.columns, self.stored, self.ip_keys)
+        return replace(self, df=self.df.filter(where))
 
 
 class Predicates:
@@ -384,10 +388,10 @@ class Scores:
     def column(self, node: n.Node) -> Column:
         """The score of a tree; runs one aggregation if the tree needs statistics."""
         self(node)
-        if len(self.wanted) > 1:
-            keys = list(self.wanted)
-            row = self.c.df.agg(*[self.wanted[k].alias(f"s{i}") for i, k in enumerate(keys)]).first()
-            self.stats = {k: float(row[i] or 0) for i, k in enumerate(keys)}
-        else:
-            self.stats = {("n",): 1.0}
+        self.stats = {("n",): 1.0} | self.c.known
+        keys = [k for k in self.wanted if k not in self.c.known]
+        if keys != [("n",)] and keys:
+            docs = self.c.df if self.c.whole is None else self.c.whole
+            row = docs.agg(*[self.wanted[k].alias(f"s{i}") for i, k in enumerate(keys)]).first()
+            self.stats |= {k: float(row[i] or 0) for i, k in enumerate(keys)}
         return self(node)

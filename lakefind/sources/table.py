@@ -46,7 +46,7 @@ class Changes:
     removed: list[str]
 
 
-def _data_file(name: str) -> str:
+def data_file(name: str) -> str:
     """A data file's path in its table: data/<write>/<file>."""
     return "/".join(name.split("/")[-3:])
 
@@ -116,6 +116,9 @@ class VersionedTable:
         """Write rows as new data files that no version has yet: their paths and row counts."""
         part = f"data/{uuid.uuid4().hex}"
         writer = df.write
+        if "_id" in df.columns:
+            # a lookup by id then skips the row groups that do not have it
+            writer = writer.option("parquet.bloom.filter.enabled#_id", "true")
         if max_rows:
             writer = writer.option("maxRecordsPerFile", max_rows)
         writer.parquet(f"{self.path}/{part}")
@@ -169,14 +172,14 @@ class VersionedTable:
         return self.commit(self.write_files(kept), hit, expected=s.version)
 
     def _files_with(self, rows: DataFrame) -> list[str]:
-        return [_data_file(r["f"]) for r in rows.select(F.input_file_name().alias("f")).distinct().collect()]
+        return [data_file(r["f"]) for r in rows.select(F.input_file_name().alias("f")).distinct().collect()]
 
     def files_with_ids(self, s: Snapshot, ids: DataFrame, id: str) -> list[str]:
         """The files of a snapshot that have one of the ids."""
         schema = T.StructType.fromJson(s.schema)
         rows = self.files(s.files, schema).select(F.col(f"`{id}`").cast("string").alias("i"), F.input_file_name().alias("f"))
         gone = ids.select(F.col(f"`{id}`").cast("string").alias("g"))
-        return [_data_file(r["f"]) for r in rows.join(gone, F.col("i") == F.col("g"), "left_semi").select("f").distinct().collect()]
+        return [data_file(r["f"]) for r in rows.join(gone, F.col("i") == F.col("g"), "left_semi").select("f").distinct().collect()]
 
     def changes(self, since: int, until: int | None = None) -> Changes:
         """Files that differ between two versions; since < 0 means everything is new."""

@@ -12,6 +12,7 @@ from lakefind.functions.analysis import analyze
 from lakefind.functions.stemmer import stem
 from lakefind.functions.values import parse_date, parse_ip, wildcard_regex
 from lakefind.operators.compaction import MergePolicy, levels, plan
+from lakefind.operators.search import query_tree, search
 from lakefind.plans import nodes as n
 from lakefind.schema import flatten, infer_documents, infer_struct, infer_value
 from lakefind.sources.ingest import detect_format, expand, parse_format, read_file, read_lines
@@ -265,3 +266,26 @@ def test_streaming_sync(spark, engine, tmp_path):
 def test_output():
     assert to_ndjson([{"a": 1}, {"a": "é"}]) == '{"a": 1}\n{"a": "é"}\n'
     assert to_table([{"name": "x", "n": 1}, {"name": None, "other": 2}]) == "name\tn\n--------\t--------\nx\t1\n\t\n" and to_table([]) == ""
+
+
+def test_term_dictionary(spark, engine, tmp_path):
+    """Only segments with the words are read, and hits and scores are those of a full scan."""
+    path = f"file://{tmp_path}/source"
+    rows = [(f"d{i:03}", f"common words w{i // 20} x{i % 7}" + " long" * (i % 5)) for i in range(100)] + [("none", None)]
+    t = VersionedTable(spark, path)
+    t.overwrite(spark.createDataFrame(rows, "_id string, body string").coalesce(1))
+    idx = engine.create("terms", {"fields": {"body": "text"}}, source=path)
+    idx.sync(segment_size=20, max_segments=100)
+    assert idx.stats()["num_segments"] > 3
+    plain = idx.corpus()
+    for query in ("body:w3", "body:w3 body:x5", '+body:w1 +body:"x2 long"', "+body:common -body:w0", "body:nope", "body:w1 OR _id:d099", 'body:"words w2"~3'):
+        tree = n.simplify(query_tree(idx.schema, query))
+        c = idx.corpus(tree)
+        a, b = (search(x, query, limit=200, score=True, fields=[]).collect() for x in (c, plain))
+        assert [r["_id"] for r in a] == [r["_id"] for r in b] and all(abs(x["_score"] - y["_score"]) < 1e-9 for x, y in zip(a, b)), query
+    assert len(idx.corpus(n.Match("body", "w3")).df.inputFiles()) < len(plain.df.inputFiles())
+    t.append(spark.createDataFrame([("d000", "w3 again"), ("new", "w3")], "_id string, body string"))
+    assert {h["_id"] for h in idx.hits("body:w3", limit=100)} == {f"d{i:03}" for i in range(60, 80)} | {"d000", "new"}
+    hits = idx.hits("body:w3", limit=1, score=True)
+    idx.sync(max_segments=2)
+    assert hits == idx.hits("body:w3", limit=1, score=True)
