@@ -8,8 +8,9 @@ What the partitions leave open is merged at the end by the same rule.
 Only (doc_id, length) is shuffled, never a text.  The partition of a document
 depends on its doc_id alone and each partition is packed in doc_id order, so a
 task that is run again packs the same windows.  A task holds ``open_windows``
-windows, whatever the corpus; the leftovers to be merged are at most that many
-for each partition, and the partitions follow the number of documents.
+windows, whatever the corpus.  A partition leaves at most that many over; they are
+merged ``merge_fan_in`` partitions at a time, what these leave over again, until
+one group remains, so no task gets more as the corpus grows.
 
 Defined results
 ---------------
@@ -83,14 +84,6 @@ def pack(lengths: Iterable[tuple], space: OpenWindows) -> Iterator[tuple[int, li
             yield from space.place(n - at, [(d, at, n - at)])
 
 
-def merge(leftovers: Iterable[tuple[int, list]], capacity: int, most: int) -> Iterator[tuple[int, list]]:
-    """Windows of the leftovers, merged by the same rule, largest first."""
-    space = OpenWindows(capacity, most)
-    for size, pieces in leftovers:
-        yield from space.place(size, pieces)
-    yield from space.rest()
-
-
 def token_lengths(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame:
     """Columns d (doc_id) and n (number of tokens) of the documents that have any."""
     schema = T.StructType([T.StructField("d", docs.schema[doc_id].dataType), T.StructField("n", T.LongType())])
@@ -111,14 +104,15 @@ def pack_documents(
     capacity: int = 2048,
     open_windows: int = 16,
     docs_per_partition: int = 20000,
+    merge_fan_in: int = 500,
 ) -> DataFrame:
     """All windows: window_id, n_tokens and pieces, an ordered array of (doc_id, start, length).
 
-    window_id is "<partition>-<number>", with "m" for merged leftovers.
+    window_id is "<partition>-<number>", with "m<level>-" before it for merged leftovers.
     """
     spark = docs.sparkSession
     id_type = docs.schema[doc_id].dataType
-    lengths, path = written(token_lengths(docs, doc_id=doc_id, text=text))
+    lengths, _ = written(token_lengths(docs, doc_id=doc_id, text=text))
     parts = max(1, -(-lengths.count() // docs_per_partition))
     piece = T.StructType([T.StructField("doc_id", id_type), T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])
     schema = T.StructType([T.StructField("p", T.IntegerType()), T.StructField("k", T.IntegerType()), T.StructField("left", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("pieces", T.ArrayType(piece))])
@@ -160,28 +154,44 @@ def pack_documents(
             yield from finish(p)
 
     placed = lengths.withColumn("p", F.pmod(F.xxhash64("d"), F.lit(parts)).cast("int")).repartition(parts, "p").sortWithinPartitions("p", F.col("d").asc_nulls_last(), "n")
-    packed, packed_path = written(placed.mapInArrow(run, schema))
+    packed, _ = written(placed.mapInArrow(run, schema))
 
     def together(batches):
-        def leftovers():
-            for b in batches:
-                for r in b.to_pylist():
-                    yield r["n_tokens"], [(x["doc_id"], x["start"], x["length"]) for x in r["pieces"]]
-
-        rows, k = [], 0
-        for n, w in merge(leftovers(), capacity, open_windows):
-            rows.append((-1, k, True, n, w))
-            k += 1
-            if len(rows) == 1000:
-                yield batch(rows)
-                rows = []
-        if rows:
-            yield batch(rows)
+        """The leftovers of each group of partitions, largest first, by the same rule."""
+        space, group, k = None, None, 0
 
-    left = packed.where("left").repartition(1).sortWithinPartitions(F.desc("n_tokens"), "p", "k")
-    out = packed.where("not left").unionByName(left.mapInArrow(together, schema))
-    name = F.when(F.col("left"), F.concat(F.lit("m-"), F.col("k"))).otherwise(F.concat_ws("-", "p", "k"))
-    return out.select(name.alias("window_id"), "n_tokens", "pieces")
+        def rest():
+            return [(group, k + i, True, n, w) for i, (n, w) in enumerate(space.rest())]
+
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                if space is None or r["g"] != group:
+                    if space is not None:
+                        rows += rest()
+                    space, group, k = OpenWindows(capacity, open_windows), r["g"], 0
+                for n, w in space.place(r["n_tokens"], [(x["doc_id"], x["start"], x["length"]) for x in r["pieces"]]):
+                    rows.append((group, k, False, n, w))
+                    k += 1
+            if rows:
+                yield batch(rows)
+        if space is not None:
+            yield batch(rest())
+
+    done = packed.where("not left").select(F.concat_ws("-", "p", "k").alias("window_id"), "n_tokens", "pieces")
+    level = 0
+    while True:
+        level += 1
+        groups = -(-parts // merge_fan_in)
+        left = packed.where("left").withColumn("g", F.floor(F.col("p") / merge_fan_in).cast("int"))
+        left = left.repartition(groups, "g").sortWithinPartitions("g", F.desc("n_tokens"), "p", "k").select("g", "n_tokens", "pieces")
+        merged = left.mapInArrow(together, schema)
+        name = F.concat_ws("-", F.lit(f"m{level}"), "p", "k").alias("window_id")
+        if groups == 1:
+            return done.unionByName(merged.select(name, "n_tokens", "pieces"))
+        packed, _ = written(merged)
+        done = done.unionByName(packed.where("not left").select(name, "n_tokens", "pieces"))
+        parts = groups
 
 
 def _arrow_type(t: T.DataType) -> pa.DataType:

@@ -404,7 +404,11 @@ def test_op9(spark, odd, none):
     assert len({r["window_id"] for r in got}) == len(got)
     again = bounded_packing.pack_documents(df.repartition(5), capacity=100, open_windows=4, docs_per_partition=100).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
+    deep = bounded_packing.pack_documents(df, capacity=100, open_windows=4, docs_per_partition=20, merge_fan_in=3).collect()
+    check_windows(deep, rows, 100)
+    assert any(r["window_id"].startswith("m3-") for r in deep) and len({r["window_id"] for r in deep}) == len(deep)
     total = sum(len(words(t)) for _, t, _ in rows)
+    assert len(deep) <= 1.3 * total / 100 + 4
     assert len(got) <= 1.25 * total / 100 + 4
     check_windows(bounded_packing.pack_documents(odd).collect(), [(r["doc_id"], r["text"], None) for r in odd.collect()], 2048)
     assert bounded_packing.pack_documents(none).count() == 0
