@@ -37,8 +37,8 @@ from pyspark.sql import types as T
 from . import tokens as tk
 from .common import col, column_of, expand_ranges, keep_rows, slices
 
-#: Bytes of text in a shard (about two million tokens), and of benchmark text in one pass.
-SHARD_BYTES = 12 << 20
+#: Bytes of text in a shard (about one million tokens), and of benchmark text in one pass.
+SHARD_BYTES = 6 << 20
 BENCHMARK_BYTES = 16 << 20
 
 
