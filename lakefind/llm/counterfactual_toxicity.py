@@ -51,7 +51,7 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("mujeres", "hombres"), ("judíos", "cristianos", "musulmanes"),
 )
 
-_PIECE = 4 << 20
+_PIECE = 1 << 20
 
 #: Lengths in bytes of the word beginnings that are features besides the words.
 STEMS = (5, 6, 7, 8)
