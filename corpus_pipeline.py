@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakefind.llm import bounded_packing, common, counterfactual_toxicity, simhash_blocks, site_lines, suffix_decontamination
 
+#: A line is boilerplate beyond this part of its source's pages and from so many pages on; README has the recall. op2 keeps the rule of its SQL.
+LINE_RATIO, LINE_PAGES = 0.002, 5
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the counterfactual-regularised classifier rejects go."""
@@ -20,7 +23,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are boilerplate on their source go; every document keeps its row."""
-    return site_lines.drop_boilerplate(docs)
+    return site_lines.drop_boilerplate(docs, ratio=LINE_RATIO, min_line_pages=LINE_PAGES)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

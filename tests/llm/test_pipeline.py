@@ -84,3 +84,16 @@ def test_packing(stages):
 def test_run(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert out.columns == ["window_id", "n_tokens", "pieces"] and out.count() > 0
+
+
+def test_line_dedup_drops_rare_boilerplate(spark):
+    """Lines on 1 % to 4 % of a source's pages go; lines of fewer than five pages stay."""
+    rows = []
+    for d in range(600):
+        lines = [f"own line {d}", f"shared by three {d // 3}"]
+        lines += [f"footer {k}" for k, every in enumerate((25, 50, 100)) if d % every == 0]
+        rows.append((d, "\n".join(lines), "host"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("n_chars", F.length("text").cast("bigint"))
+    got = {r["doc_id"]: r for r in corpus_pipeline.line_dedup(spark, df, DATA).collect()}
+    assert {d: r["text"] for d, r in got.items()} == {d: f"own line {d}\nshared by three {d // 3}" for d in range(600)}
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
