@@ -15,7 +15,10 @@ Components in MapReduce and Beyond", 2014), each written to the shared folder.
 
 Defined results
 ---------------
-* The fingerprint is over the distinct tokens of the whole text.  Null texts and
+* The fingerprint is over the distinct tokens of the whole text.  A token's vote
+  on a bit has a sign and a heavy-tailed weight, both hashes of token and bit (a
+  sign stable projection: Li, Samorodnitsky and Hopcroft, 2013).  A few votes
+  decide each bit, others each time, so that few edits change it.  Null texts and
   texts without tokens have none and belong to no group; rows with a null
   doc_id cannot be named and belong to none either.  Both are kept.
 * doc_id is the key of a document: rows that repeat one are copies of the same
@@ -40,10 +43,20 @@ from .common import col, column_of, drop_written, fresh, slices, small_enough, w
 _PIECE = 2 << 20
 
 
+def _votes(tail: float = 0.8, bits: int = 16) -> np.ndarray:
+    """Signed weights by hash value, Pareto with the given tail; whole numbers, so that sums do not depend on order."""
+    half = 1 << (bits - 1)
+    weight = np.rint(16 * ((np.arange(half) + 0.5) / half) ** (-1 / tail)).astype(np.int64)
+    return np.concatenate([weight, -weight])
+
+
+_VOTES = _votes()
+
+
 def fingerprints(col) -> tuple[np.ndarray, np.ndarray]:
     """64-bit SimHash of each text over its distinct tokens, and whether it has any.
 
-    Bit i is set if more than half of the tokens' hashes have it set.
+    Bit i is set if the sum of the tokens' votes on it is positive.
     """
     t = tk.tokenize(col)
     n = len(t.doc) - 1
@@ -58,10 +71,15 @@ def fingerprints(col) -> tuple[np.ndarray, np.ndarray]:
     counts = np.bincount(owner, minlength=n)
     has = counts > 0
     if has.any():
-        bits = np.unpackbits(word.view(np.uint8).reshape(-1, 8), axis=1)
         first = np.cumsum(counts[has]) - counts[has]
-        ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-        out[has] = np.packbits(2 * ones > counts[has, None], axis=1).view(np.uint64).ravel()
+        f = np.zeros(len(first), np.uint64)
+        for i in range(0, 64, 4):
+            # a hash has the votes on four bits
+            word = tk.mix(word)
+            for k in range(4):
+                place = ((word >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.intp)
+                f |= (np.add.reduceat(_VOTES[place], first) > 0).astype(np.uint64) << np.uint64(i + k)
+        out[has] = f
     return out, has
 
 

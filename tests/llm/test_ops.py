@@ -272,6 +272,21 @@ def test_op4_finds_edited_copies():
     assert near >= 180, near
 
 
+@pytest.mark.parametrize("n", [100, 300, 2000])
+def test_op4_finds_copies_with_one_word_in_twenty_changed(n):
+    """At least 0.9 of the copies are within the distance; of texts that share 0.4 of their words, at most 0.01."""
+    rng = np.random.default_rng(n)
+    near = far = 0
+    for _ in range(400):
+        a = [f"t{x}" for x in rng.integers(0, 10**6, n)]
+        b = [w if rng.random() > 0.05 else f"u{rng.integers(0, 10**6)}" for w in a]
+        c = [w if rng.random() > 0.43 else f"u{rng.integers(0, 10**6)}" for w in a]
+        f, _ = simhash_blocks.fingerprints(pa.array([" ".join(a), " ".join(b), " ".join(c)]))
+        near += int(f[0] ^ f[1]).bit_count() <= 8
+        far += int(f[0] ^ f[2]).bit_count() <= 8
+    assert near >= 360 and far <= 4, (near, far)
+
+
 # -- 5 -----------------------------------------------------------------------
 
 
