@@ -22,7 +22,8 @@ Defined results
 ---------------
 * The host is the lower-cased host part of the URL.  Pages with a null url or
   without a host, and hosts of fewer than ``min_pages`` pages, have no template:
-  all their text is in slot 0.
+  all their text is in slot 0.  Pages without tokens do not count as pages here
+  or below: null, empty or blank html.
 * Slots are (slot, text) in page order; slot is the number of root tokens before
   it; nested classes cut a gap into several values with its number.  Markup and
   white space are left out of a value; an empty value is no slot.
@@ -299,8 +300,10 @@ def extract(pages: DataFrame, *, page_id="page_id", url="url", html="html", supp
     from pyspark.sql.pandas.types import to_arrow_type
 
     source = pages.select(col(pages, page_id).alias("i"), F.coalesce(_host(col(pages, url)), F.lit("")).alias("h"), F.coalesce(col(pages, html), F.lit("")).alias("t"))
-    totals, totals_path = written(source.where(F.col("h") != "").groupBy("h").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= min_pages))
-    known = source.join(small_enough(totals.select(F.col("h").alias("th")), totals_path), F.col("h") == F.col("th"), "left_semi").select("h", "t")
+    # a page without tokens has no slots; counted, it would leave no token that is on every page
+    filled = source.where((F.col("h") != "") & F.col("t").rlike(r"(?U)[^\s\x1c-\x1f]"))
+    totals, totals_path = written(filled.groupBy("h").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= min_pages))
+    known = filled.join(small_enough(totals.select(F.col("h").alias("th")), totals_path), F.col("h") == F.col("th"), "left_semi").select("h", "t")
 
     def attach(table: DataFrame, path: str, rows: DataFrame, how: str) -> DataFrame:
         return rows.join(small_enough(table.withColumnRenamed("h", "kh"), path), F.col("h") == F.col("kh"), how).drop("kh")

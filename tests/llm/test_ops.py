@@ -315,6 +315,21 @@ def test_op5(spark):
     assert again == {(r["page_id"], str(r["slots"])) for r in got}
 
 
+def test_op5_pages_without_tokens_leave_slot_numbers(spark):
+    """Null, empty and blank pages of a host change neither the slots nor their numbers on its other pages."""
+    rows = [(i, f"http://shop.example/{i}", page(f"Title{i}", [(f"thing{i}{j}", f"{i}{j}") for j in range(1 + i % 4)], f"note{i}")) for i in range(12)]
+    empty = [(50, "http://shop.example/a", None), (51, "http://shop.example/b", ""), (52, "http://shop.example/c", " \n\t\u00a0 ")]
+    few = [(60 + i, f"http://few.example/{i}", page(f"T{i}", [])) for i in range(4)] + [(64, "http://few.example/4", "")]
+    schema = "page_id bigint, url string, html string"
+    slots = lambda x: {r["page_id"]: [tuple(s) for s in r["slots"]] for r in template_extraction.extract(spark.createDataFrame(x, schema)).collect()}
+    alone, got = slots(rows), slots(rows + empty + few)
+    assert {i: got[i] for i in alone} == alone and got[50] == got[51] == got[52] == []
+    for i in range(12):
+        numbers = {t: n for n, t in got[i]}
+        assert numbers[f"Title{i}"] == dict((t, n) for n, t in got[0])["Title0"] > 0
+        assert numbers[f"note{i}"] == dict((t, n) for n, t in got[0])["note0"] > numbers[f"Title{i}"]
+    assert all({n for n, _ in got[60 + i]} == {0} for i in range(4))
+
 # -- 6 -----------------------------------------------------------------------
 
 
