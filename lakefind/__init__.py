@@ -1,6 +1,6 @@
 """Search and faceting over lake tables, on Spark."""
 
-_HOME = {"Engine": "engine", "Index": "engine", "Corpus": "plans.compile", "Schema": "schema", "VersionedTable": "sources.table", "ingest": "sources.ingest"}
+_HOME = {"Engine": "engine", "Index": "engine", "Corpus": "plans.compile", "Schema": "schema", "VersionedTable": "sources.table", "ingest": "sources.ingest", "Lines": "sources.ingest"}
 __all__ = sorted(_HOME)
 
 

@@ -129,3 +129,13 @@ def stem(word: str) -> str:
     elif w.endswith("ll") and len(w) - 1 >= r2:
         w = w[:-1]
     return w.replace("Y", "y")
+
+
+def beginning(stemmed: str) -> str:
+    """What every word with this stem begins with: endings change at most the last two letters of a stem."""
+    if not stemmed.isascii() or len(stemmed) <= 2:
+        # such words are no shorter; a stem of two letters may have lost a final one
+        return stemmed if not stemmed.isascii() else stemmed[:1]
+    known = [w for w, s in _EXCEPTIONS.items() if s == stemmed]
+    out = stemmed[: max(1, len(stemmed) - 2)]
+    return out if all(w.startswith(out) for w in known) else stemmed[:1]

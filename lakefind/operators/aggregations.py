@@ -2,8 +2,10 @@
 
 A request is JSON: ``{name: {kind: options, "aggs": {...}}}``.  Every path of
 buckets is one ``groupBy`` on the keys of the whole path, with all metrics of
-that level in the same pass; :func:`frame` gives the DataFrame of one path and
-:func:`aggregate` renders nested buckets.  Text fields cannot be aggregated.
+that level in the same pass; :func:`frame` gives the DataFrame of one path,
+:func:`top_hits` the best documents of its buckets, and :func:`aggregate` renders
+nested buckets.  Text fields cannot be aggregated.  A document without the field
+counts nowhere unless the aggregation names a ``missing`` value.
 """
 
 from __future__ import annotations
@@ -13,15 +15,15 @@ import re
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import QueryParseError, SchemaError
-from ..plans.compile import Corpus, quoted
+from ..plans.compile import Corpus, Predicates, quoted
 
 BUCKETS = ("terms", "range", "histogram", "date_histogram")
-METRICS = ("avg", "sum", "min", "max", "value_count", "count", "stats", "extended_stats", "percentiles", "cardinality")
+METRICS = ("avg", "sum", "min", "max", "value_count", "count", "stats", "extended_stats", "percentiles", "cardinality", "top_hits")
 PERCENTS = (1.0, 5.0, 25.0, 50.0, 75.0, 95.0, 99.0)
 #: Empty buckets that a histogram may fill in.
 MAX_BUCKETS = 65_000
@@ -58,7 +60,7 @@ def parse(request: str | dict) -> list[Agg]:
         if len(kinds) != 1 or kinds[0] not in BUCKETS + METRICS:
             raise QueryParseError(f"aggregation parse error: '{name}' needs one of {', '.join(BUCKETS + METRICS)}")
         a = Agg(name, kinds[0], body[kinds[0]], parse(subs))
-        if not isinstance(a.options, dict) or not isinstance(a.options.get("field"), str):
+        if not isinstance(a.options, dict) or a.kind != "top_hits" and not isinstance(a.options.get("field"), str):
             raise QueryParseError(f"aggregation parse error: '{name}' needs a field")
         if a.subs and not a.bucket:
             raise QueryParseError(f"aggregation parse error: '{name}' is a metric and has no sub-aggregations")
@@ -73,13 +75,19 @@ def _column(c: Corpus, a: Agg, kinds: tuple[str, ...] | None = None) -> Column:
         raise SchemaError(f"aggregation '{a.name}': text field '{f}' cannot be aggregated")
     if kinds and kind not in kinds:
         raise SchemaError(f"aggregation '{a.name}': field '{f}' is {kind}")
-    return c.column(f)
-
-
-def micros(c: Corpus, name: str) -> Column:
-    """A date field as microseconds since 1970."""
+    col, absent = c.column(f), a.options.get("missing")
+    if absent is None:
+        return col
+    one = Predicates(c).literal(f, absent)
+    if not c.many(f):
+        return F.coalesce(col, one)
+    some = F.exists(col, lambda x: x.isNotNull())
+    return F.when(some, col).otherwise(F.array(one))
+
+
+def micros(c: Corpus, name: str, col: Column) -> Column:
+    """The values of a date field as microseconds since 1970."""
     t = c.dtype(name)
-    col = c.column(name)
     return F.unix_micros(col.cast("timestamp") if not isinstance(t, T.TimestampType) else col)
 
 
@@ -124,16 +132,16 @@ def _keys(c: Corpus, a: Agg) -> Column:
                 raise QueryParseError(f"aggregation parse error: '{a.name}' needs an interval above 0")
             key = lambda x: F.floor((x.cast("double") - off) / step) * F.lit(step) + F.lit(off)
         case "date_histogram":
-            _column(c, a, ("date",))
+            col = _column(c, a, ("date",))
             step = interval_micros(a.options.get("fixed_interval", a.options.get("interval", "")))
             if many:
                 raise SchemaError(f"aggregation '{a.name}': field '{f}' has several values")
-            m = micros(c, f)
+            m = micros(c, f, col)
             return ((m - F.pmod(m, F.lit(step))) / 1000).cast("long")
         case "range":
             kind = c.schema.kind(f)
-            _column(c, a, ("numeric", "date"))
-            x = micros(c, f) / 1000 if kind == "date" else c.column(f)
+            col = _column(c, a, ("numeric", "date"))
+            x = micros(c, f, col) / 1000 if kind == "date" else col
             parts = []
             for key, lo, hi in _ranges(a):
                 ok = _inside(lo, hi)
@@ -155,8 +163,8 @@ def _with_key(c: Corpus, df: DataFrame, a: Agg, name: str) -> DataFrame:
 def _metric(c: Corpus, a: Agg, exact: bool) -> dict[str, Column]:
     """The aggregate columns of a metric, by their part's name ("" for the only one)."""
     f = a.options["field"]
-    _column(c, a, None if a.kind in ("value_count", "count", "cardinality") else ("numeric", "date"))
-    x = micros(c, f) / 1000 if c.schema.kind(f) == "date" and not c.many(f) and a.kind not in ("value_count", "count", "cardinality") else c.column(f)
+    col = _column(c, a, None if a.kind in ("value_count", "count", "cardinality") else ("numeric", "date"))
+    x = micros(c, f, col) / 1000 if c.schema.kind(f) == "date" and not c.many(f) and a.kind not in ("value_count", "count", "cardinality") else col
     many = c.many(f)
     if many:
         if a.kind in ("percentiles", "cardinality", "extended_stats"):
@@ -210,27 +218,73 @@ def _column_name(a: Agg, part: str) -> str:
 def _level(c: Corpus, df: DataFrame, keys: list[str], metrics: list[Agg], exact: bool) -> DataFrame:
     cols = [F.count(F.lit(1)).alias("doc_count")]
     for m in metrics:
+        if m.kind == "top_hits":
+            continue
         cols += [x.alias(_column_name(m, part)) for part, x in _metric(c, m, exact).items()]
     return df.groupBy(*[quoted(k) for k in keys]).agg(*cols)
 
 
-def frame(corpus: Corpus, request: str | dict | list[Agg], path: list[str] | None = None, *, where: Column | None = None, exact: bool = False) -> DataFrame:
-    """One level of a request as a DataFrame: the keys of the path's buckets, doc_count and the level's metrics.
-
-    All buckets are returned; size and order are of :func:`aggregate`.  exact
-    makes percentiles and cardinality exact instead of sketches.
-    """
-    aggs = request if isinstance(request, list) else parse(request)
+def _buckets_of(corpus: Corpus, aggs: list[Agg], path: list[str], where: Column | None) -> tuple[DataFrame, list[Agg]]:
+    """The documents with a column for each bucket key of the path, and the aggregations below it."""
     df = corpus.df if where is None else corpus.df.filter(where)
-    keys: list[str] = []
-    for name in path or []:
+    for name in path:
         a = next((x for x in aggs if x.name == name and x.bucket), None)
         if a is None:
             raise QueryParseError(f"no bucket aggregation '{name}'")
         df = _with_key(corpus, df, a, name)
-        keys.append(name)
         aggs = a.subs
-    return _level(corpus, df, keys, [a for a in aggs if not a.bucket], exact)
+    return df, aggs
+
+
+def frame(corpus: Corpus, request: str | dict | list[Agg], path: list[str] | None = None, *, where: Column | None = None, exact: bool = False) -> DataFrame:
+    """One level of a request as a DataFrame: the keys of the path's buckets, doc_count and the level's metrics.
+
+    All buckets are returned; size and order are of :func:`aggregate`.  exact
+    makes percentiles and cardinality exact instead of sketches.
+    """
+    df, aggs = _buckets_of(corpus, request if isinstance(request, list) else parse(request), path or [], where)
+    return _level(corpus, df, path or [], [a for a in aggs if not a.bucket], exact)
+
+
+def top_hits(corpus: Corpus, request: str | dict | list[Agg], path: list[str], name: str, *, where: Column | None = None) -> DataFrame:
+    """The best documents of every bucket of a path: its keys, rank from 1, ``_id`` and the fields asked for.
+
+    Spark limits the rows of a bucket before they are shuffled.
+    """
+    df, aggs = _buckets_of(corpus, request if isinstance(request, list) else parse(request), path, where)
+    a = next((x for x in aggs if x.name == name and x.kind == "top_hits"), None)
+    if a is None:
+        raise QueryParseError(f"no top_hits aggregation '{name}'")
+    size, skip, order, fields = _hits_options(corpus, a)
+    ident = F.col(quoted(corpus.id))
+    df = df.select(*[F.col(quoted(k)) for k in path], ident.alias("__lf_id"), *[c.alias(f"__lf_o{i}") for i, (c, _) in enumerate(order)], *[corpus.column(f).alias("__lf_f_" + f) for f in fields])
+    by = [F.col(f"__lf_o{i}").asc_nulls_last() if up else F.col(f"__lf_o{i}").desc_nulls_last() for i, (_, up) in enumerate(order)]
+    keys = [F.col(quoted(k)) for k in path] or [F.lit(0)]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*by, "__lf_id"))
+    best = df.withColumn("__lf_rank", rank).where(F.col("__lf_rank") <= skip + size).where(F.col("__lf_rank") > skip)
+    return best.select(*[F.col(quoted(k)) for k in path], F.col("__lf_rank").alias("rank"), F.col("__lf_id").alias("_id"), *[F.col(quoted("__lf_f_" + f)).alias(f) for f in fields])
+
+
+def _hits_options(c: Corpus, a: Agg) -> tuple[int, int, list[tuple[Column, bool]], list[str]]:
+    size, skip = a.options.get("size", 3), a.options.get("from", 0)
+    if not all(isinstance(x, int) and not isinstance(x, bool) and x >= 0 for x in (size, skip)):
+        raise QueryParseError(f"aggregation parse error: '{a.name}' has a bad size")
+    given = a.options.get("sort", [])
+    order = []
+    for x in given if isinstance(given, list) else [given]:
+        if isinstance(x, str):
+            x = {x: "asc"}
+        if not isinstance(x, dict) or len(x) != 1:
+            raise QueryParseError(f"aggregation parse error: '{a.name}' has a bad sort")
+        f, way = next(iter(x.items()))
+        way = way.get("order", "asc") if isinstance(way, dict) else way
+        if c.schema.kind(f) == "text" or c.many(f):
+            raise SchemaError(f"aggregation '{a.name}': cannot sort by '{f}'")
+        order.append((c.column(f), way == "asc"))
+    fields = a.options.get("_source", a.options.get("docvalue_fields", list(c.schema.fields)))
+    if not isinstance(fields, list) or not all(isinstance(f, str) for f in fields):
+        raise QueryParseError(f"aggregation parse error: '{a.name}' needs a list of fields")
+    return size, skip, order, [f for f in fields if f in c.schema.fields]
 
 
 def _render(a: Agg, row) -> dict:
@@ -252,8 +306,6 @@ def _paths(aggs: list[Agg], path: tuple[str, ...] = ()):
 
 def _kept(c: Corpus, df: DataFrame, a: Agg, keys: list[str]) -> DataFrame:
     """For terms: at most size buckets under each parent, chosen by order; done before anything is collected."""
-    from pyspark.sql import Window
-
     if a.kind != "terms":
         return df
     least = a.options.get("min_doc_count", 1)
@@ -271,32 +323,59 @@ def _kept(c: Corpus, df: DataFrame, a: Agg, keys: list[str]) -> DataFrame:
     return df.withColumn("__lf_rank", F.row_number().over(w)).where(F.col("__lf_rank") <= size).drop("__lf_rank")
 
 
+def _below(f: DataFrame, path: tuple[str, ...], shown: DataFrame | None) -> DataFrame:
+    """The rows of a level below the buckets that are shown; those are few, and Spark knows how many."""
+    if shown is None:
+        return f
+    parent = shown.select(*[F.col(quoted(k)).alias("__p_" + k) for k in path])
+    return f.join(parent, [F.col(quoted(k)).eqNullSafe(F.col(quoted("__p_" + k))) for k in path], "left_semi")
+
+
 def aggregate(corpus: Corpus, request: str | dict, *, where: Column | None = None, exact: bool = False) -> dict:
     """The result of a request as nested dicts.
 
     Only buckets that are shown reach the driver: a terms aggregation's size and
-    order are applied by Spark, below every shown parent.
+    order are applied by Spark, below every shown parent; other buckets are
+    counted first.  Every path of buckets is one scan.
     """
     aggs = parse(request)
+    spark = corpus.df.sparkSession
     tables: dict[tuple[str, ...], list[dict]] = {}
+    hits: dict[tuple[str, ...], list[dict]] = {}
+    shown: dict[tuple[str, ...], DataFrame | None] = {(): None}
     df = corpus.df if where is None else corpus.df.filter(where)
     metrics = [a for a in aggs if not a.bucket]
     for a in metrics:
-        _metric(corpus, a, exact)
+        if a.kind != "top_hits":
+            _metric(corpus, a, exact)
     top = _level(corpus, df, [], metrics, exact).first().asDict() if metrics else {}
-    frames: dict[tuple[str, ...], DataFrame] = {}
+
+    def best(level: list[Agg], path: tuple[str, ...]) -> None:
+        for a in level:
+            if a.kind == "top_hits":
+                found = _below(top_hits(corpus, aggs, list(path), a.name, where=where), path, shown[path])
+                hits[(*path, a.name)] = sorted((r.asDict() for r in found.collect()), key=lambda r: r["rank"])
+
+    best(aggs, ())
     for path, a in _paths(aggs):
-        f = _kept(corpus, frame(corpus, aggs, list(path), where=where, exact=exact), a, list(path))
-        if path[:-1] in frames:
-            parent = frames[path[:-1]].select(*[F.col(quoted(k)).alias("__p_" + k) for k in path[:-1]])
-            on = [F.col(quoted(k)).eqNullSafe(F.col(quoted("__p_" + k))) for k in path[:-1]]
-            f = f.join(parent, on, "left_semi")
-        frames[path] = f
-        tables[path] = [r.asDict() for r in f.collect()]
+        f = _below(frame(corpus, aggs, list(path), where=where, exact=exact), path[:-1], shown[path[:-1]])
+        f = _kept(corpus, f, a, list(path))
+        rows = f.limit(MAX_BUCKETS + 1).collect()
+        if len(rows) > MAX_BUCKETS:
+            raise QueryParseError(f"aggregation '{a.name}': more than {MAX_BUCKETS} buckets")
+        tables[path] = [r.asDict() for r in rows]
+        if a.subs:
+            keys = f.select(*[F.col(quoted(k)) for k in path]).schema
+            shown[path] = spark.createDataFrame([tuple(r[k] for k in path) for r in rows], keys)
+            best(a.subs, path)
 
     def render(level: list[Agg], path: tuple[str, ...], parent: dict, row: dict) -> dict:
         out = {}
         for a in level:
+            if a.kind == "top_hits":
+                mine = [r for r in hits[(*path, a.name)] if all(r[k] == v for k, v in parent.items())]
+                out[a.name] = {"hits": {"total": {"value": row["doc_count"]}, "hits": [{k: v for k, v in r.items() if k != "rank" and k not in path} for r in mine]}}
+                continue
             if not a.bucket:
                 out[a.name] = _render(a, row)
                 continue

@@ -70,6 +70,7 @@ def search(
     score is then 0).  ``limit=None`` returns all matches, unordered.
     """
     tree = query_tree(corpus.schema, query, filter, dsl)
+    corpus = corpus.cut(tree)
     out = [F.col(quoted(corpus.id)).alias("_id")] + [F.col(quoted(c)) for c in projected(corpus, fields)]
     if limit == 0:
         empty = corpus.df.limit(0).select(*out)

@@ -37,8 +37,8 @@ def quoted(name: str) -> str:
 class Corpus:
     """Documents that can be searched: a DataFrame, its schema, and the column with the ids.
 
-    Predicates and scores are columns over ``df`` of the corpus, which may have
-    token columns besides those it was made with.
+    Predicates and scores are columns over ``df`` of the corpus; :meth:`cut` gives
+    the corpus whose ``df`` has the token columns that a query tree needs.
 
     ``columns`` gives fields that are no plain column an expression; struct
     fields are found by their path.  ``stored`` names columns that hold a text
@@ -59,14 +59,22 @@ class Corpus:
 
     def __post_init__(self):
         self.types = {f.name: f.dataType for f in self.df.schema.fields}
-        if self.analyzer == "en_stem":
-            # stems need Python: each text field that a query uses gets one token column, the others are pruned
-            missing = [f for f, k in self.schema.fields.items() if k == "text" and f not in self.stored]
-            made = {TOKENS + f: self.tokens(f) for f in missing}
-            self.stored = self.stored | {f: TOKENS + f for f in missing}
-            if made:
-                self.df = self.df.withColumns(made)
-                self.types = {f.name: f.dataType for f in self.df.schema.fields}
+
+    def cut(self, node: n.Node) -> Corpus:
+        """This corpus with a token column for each text field that the tree searches: texts are cut once for all its clauses.
+
+        The columns come out of a Generate, which no predicate on them is pushed
+        through (it would cut the texts again).  Only texts that have the letters
+        of a match are cut (see :func:`possible`).
+        """
+        fields = sorted(f for f in text_fields(node, self.schema) if f not in self.stored)
+        if not fields:
+            return self
+        made = {TOKENS + f: self.tokens(f) for f in fields}
+        add = lambda df: df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))))
+        raw = possible(node, self)
+        few = self.df if raw is None else self.df.filter(raw)
+        return replace(self, df=add(few), whole=add(self.df if self.whole is None else self.whole), stored=self.stored | {f: TOKENS + f for f in fields})
 
     def column(self, name: str) -> Column:
         if name == "_id":
@@ -107,6 +115,56 @@ class Corpus:
         return replace(self, df=self.df.filter(where))
 
 
+def text_fields(node: n.Node, schema: Schema) -> set[str]:
+    """The text fields whose tokens a tree looks at."""
+    match node:
+        case n.Boost():
+            return text_fields(node.node, schema)
+        case n.Bool():
+            return set().union(*(text_fields(x, schema) for x in (*node.must, *node.should, *node.must_not, *node.filter)))
+        case n.Term(f, _) | n.Terms(f, _) | n.Match(f, _, _) | n.Phrase(f, _, _) | n.PhrasePrefix(f, _) | n.Prefix(f, _) | n.Wildcard(f, _) if schema.fields.get(f) == "text":
+            return {f}
+    return set()
+
+
+def possible(node: n.Node, c: Corpus) -> Column | None:
+    """What every match of a tree fulfils, as a predicate on raw columns that needs no tokens; None if there is nothing."""
+
+    def both(parts) -> Column | None:
+        parts = [p for p in parts if p is not None]
+        return reduce(Column.__and__, parts) if parts else None
+
+    def either(parts) -> Column | None:
+        parts = list(parts)
+        return reduce(Column.__or__, parts) if parts and all(p is not None for p in parts) else None
+
+    def letters(f: str, words) -> list[Column | None]:
+        has = [analysis.letters(w, c.analyzer) for w in words]
+        return [F.contains(F.lower(c.column(f)), F.lit(x)) if x and not c.many(f) else None for x in has]
+
+    match node:
+        case n.Boost():
+            return possible(node.node, c)
+        case n.Bool():
+            musts = [possible(x, c) for x in (*node.must, *node.filter)]
+            if not musts and node.should:
+                return either(possible(x, c) for x in node.should)
+            return both(musts)
+        case n.Term(f, v) if c.schema.fields.get(f) == "text":
+            return letters(f, [v])[0] if isinstance(v, str) else None
+        case n.Terms(f, vs) if c.schema.fields.get(f) == "text":
+            return either(letters(f, vs)) if all(isinstance(v, str) for v in vs) else None
+        case n.Match(f, text, every) if c.schema.fields.get(f) == "text":
+            return (both if every else either)(letters(f, dict.fromkeys(analysis.analyze(text, c.analyzer))))
+        case n.Phrase(f, text, _) if c.schema.fields.get(f) == "text":
+            return both(letters(f, dict.fromkeys(analysis.analyze(text, c.analyzer))))
+        case n.PhrasePrefix(f, text) | n.Prefix(f, text) if c.schema.fields.get(f) == "text":
+            return both(letters(f, analysis.analyze(text, c.analyzer)[:-1]))
+        case n.MatchAll() | n.MatchNone() | n.Wildcard():
+            return None
+    return Predicates(c)(node)
+
+
 class Predicates:
     """Predicates of a corpus's query trees; checks fields and types as it goes."""
 
@@ -185,9 +243,6 @@ class Predicates:
 
     def has_token(self, f: str, token: str, safe: bool) -> Column:
         p = F.array_contains(self.c.tokens(f), token)
-        if f not in self.c.stored and not self.c.many(f) and self.c.analyzer == "simple":
-            # a cheap test of the whole text first: only texts that have the letters are cut into tokens
-            p = F.contains(F.lower(self.c.column(f)), F.lit(token)) & p
         return F.coalesce(p, F.lit(False)) if safe else p
 
     def joined(self, f: str) -> Column:

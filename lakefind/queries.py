@@ -196,10 +196,10 @@ def get_by_id(spark, sf_dir):
     return searching.get(corpus(spark, sf_dir, "customer"), "42", ["c_name", "c_mktsegment"])
 
 
-@query("search_stemmed")
-def search_stemmed(spark, sf_dir):
-    """English stems over whole texts; SQL has no stemmer here."""
-    return searching.search(corpus(spark, sf_dir, "documents", "en_stem"), "text:thanding OR text:ands", fields=["lang"], limit=None)
+# the forms of two stems that the documents have
+_FORMS = "eranlyed eranator eraneant eraneation eranerly eranered eran eraning eranes eranering eraned eraneable eranly eranated eranlying eranates eranating eraningly eraner onanered onanlyed onanes onan onaned onanates onanment onanering onanated onanator onanerly onaning onanating onaneable onaneant onaner onaneation onanly onanedly"
+_SEARCHED = ", ".join(f"'{w}'" for w in _FORMS.split())
+_search("search_stemmed", "documents", f"SELECT _id, lang FROM {_DOCS} WHERE list_has_any(w, [{_SEARCHED}])", ["lang"], "en_stem", query="text:eraning OR text:onanly")
 
 
 # -- aggregations ------------------------------------------------------------
@@ -434,3 +434,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty best English documents of some length for a text query."""
     dsl = {"bool": {"must": {"match": {"text": "that and the"}}, "filter": [{"term": {"lang": "en"}}, {"range": {"n_chars": {"gte": 200}}}]}}
     return searching.search(corpus(spark, sf_dir, "documents"), dsl=dsl, limit=20, fields=["lang", "n_chars"], score=True)
+
+
+from . import queries_index as _index  # noqa: E402, F401 - registers its queries here

@@ -123,15 +123,15 @@ def infer_documents(docs: Iterable[dict]) -> Schema:
     return Schema(fields, multi & fields.keys())
 
 
-def infer_json(lines: DataFrame, source: str = "_source") -> Schema:
-    """The schema of a column of JSON objects, inferred over all rows.
+def infer_json(lines: DataFrame, source: str = "_source", seq: str | None = None) -> Schema:
+    """The schema of a column of JSON objects, inferred over all rows; seq names a column with their order.
 
     Each task reduces its rows to one row a field, so what reaches the driver
     is bounded by fields times partitions of one small aggregation.
     """
 
     def run(frames):
-        first: dict[str, tuple[str | None, int]] = {}
+        first: dict[str, tuple[str, tuple]] = {}
         many: set[str] = set()
         for f in frames:
             for text, at in zip(f["s"], f["at"]):
@@ -141,17 +141,19 @@ def infer_json(lines: DataFrame, source: str = "_source") -> Schema:
                     continue
                 if not isinstance(doc, dict):
                     continue
+                at = tuple(at)
                 for name, x in flatten(doc):
                     if name in SYSTEM:
                         continue
                     if isinstance(x, list):
                         many.add(name)
-                    if name not in first and (kind := infer_value(x)):
+                    if (name not in first or at < first[name][1]) and (kind := infer_value(x)):
                         first[name] = (kind, at)
         names = [*first, *(many - first.keys())]
-        yield pd.DataFrame({"name": pd.Series(names, dtype=str), "kind": pd.Series([first.get(n, (None, 0))[0] for n in names], dtype=object), "at": pd.Series([first.get(n, (None, 0))[1] for n in names], dtype="int64"), "multi": pd.Series([n in many for n in names], dtype=bool)})
+        yield pd.DataFrame({"name": pd.Series(names, dtype=str), "kind": pd.Series([first.get(n, (None, None))[0] for n in names], dtype=object), "at": pd.Series([first.get(n, (None, None))[1] for n in names], dtype=object), "multi": pd.Series([n in many for n in names], dtype=bool)})
 
-    rows = lines.select(F.col(source).alias("s"), F.monotonically_increasing_id().alias("at")).mapInPandas(run, "name string, kind string, at long, multi boolean")
+    order = F.col(seq) if seq else F.array(F.monotonically_increasing_id())
+    rows = lines.select(F.col(source).alias("s"), order.alias("at")).mapInPandas(run, "name string, kind string, at array<long>, multi boolean")
     found = rows.groupBy("name").agg(F.min_by("kind", F.when(F.col("kind").isNotNull(), F.col("at"))).alias("kind"), F.max("multi").alias("multi")).collect()
     fields = {r["name"]: r["kind"] for r in found if r["kind"]}
     return Schema(fields, {r["name"] for r in found if r["multi"] and r["kind"]})

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 
-def follow(index, *, available_now: bool, interval: str, segment_size: int) -> StreamingQuery:
+def follow(index, *, available_now: bool, interval: str, segment_size: int | None) -> StreamingQuery:
     """Start a query that pulls the source's new versions into the index."""
     source = index.source
     if source is None:
