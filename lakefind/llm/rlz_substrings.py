@@ -1,26 +1,34 @@
 """Duplicate substrings by relative Lempel-Ziv parsing against indexed blocks.
 
-A span of a document is a duplicate if every one of its tokens lies in a run of
-at least ``min_tokens`` tokens that also occurs in a document with a smaller
-doc_id.  In an RLZ parse of the document against the corpus, these are the
-factors of that length; a factor's neighbourhood is parsed again from every
-token of its last ``min_tokens - 1``, so that a passage cut by a factor boundary
-is found as well.
-
-Parsing every document against every block of the corpus would be quadratic.
-It is made linear without losing a factor:
+A document is factored greedily against reference blocks that a suffix array
+indexes: the longest factor at a position is found through its neighbours in the
+suffix array, the parse jumps to the factor's end, and it is checked at the
+boundary: each of the factor's last ``min_tokens - 1`` tokens may begin a factor
+that goes on beyond it, so the parse goes on from there.  Factors of at least
+``min_tokens`` tokens of documents with a smaller doc_id are duplicate spans.
+Thus a span has just the tokens that lie in a run of that length which also
+occurs in a document with a smaller doc_id.
+
+Parsing every document against every block of the corpus is quadratic: the
+corpus is read once a block.  Which blocks can give a factor is therefore found
+first, without losing one:
 
 1. Winnowing (Schleimer, Wilkerson and Aiken, 2003) picks anchor positions by
    content: any run of ``min_tokens`` tokens holds an anchor, and equal runs hold
    the same one.  A factor of that length can therefore only come from a place
    with the same anchor, within the anchor's segment (the tokens so near that a
    run of ``min_tokens`` can hold both).
-2. Anchors, not texts, are shuffled.  Those of one document fall away.  Places
-   whose whole segments are equal are duplicates of the first one; a passage in
-   thousands of documents is settled here, by its hash, in linear time.
-3. Of each different segment of an anchor, one goes into a reference block,
-   where a suffix array indexes all segments and each is parsed against those of
-   smaller doc_ids.
+2. Anchors, not texts, are counted, with partial aggregation before the shuffle.
+   Those of one document fall away.  Places whose whole segments are equal are
+   duplicates of the first one; a passage in thousands of documents is settled
+   here, by two hashes of 64 bits, in linear time.
+3. Of each different segment of an anchor, one goes into a reference block.  A
+   block holds all segments of its anchors; each is parsed against those of
+   smaller doc_ids, and what is found holds for all places of the segment.
+4. An anchor with more than ``max_segments`` different segments (a phrase that
+   stands in very many surroundings) would make a block too large for a task.
+   Its segments' runs of ``min_tokens`` tokens are counted by hash instead, also
+   with partial aggregation, which finds the same spans.
 
 Defined results
 ---------------
@@ -29,7 +37,8 @@ Defined results
 * Repeats inside one document are not duplicates; neither are documents shorter
   than ``min_tokens``, null or empty texts.
 * Rows with a null doc_id cannot be named or ordered and are left out.  Rows that
-  repeat a doc_id are one document; a span is reported once.
+  repeat a doc_id are one document, also where their texts differ: a span of any
+  of them is reported, once.
 * An empty table gives no spans; other columns are not used.
 """
 
@@ -37,19 +46,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens as tk
-from .common import col, column_of, fresh, slices, written
+from .common import col, column_of, expand_ranges, fresh, ranked, slices, written
 from .suffix_decontamination import suffix_array
 
 _PIECE = 2 << 20
 #: Tokens in an anchor.
 ANCHOR = 16
 #: Tokens of a reference block; an anchor's segments always stay together.
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 19
+#: Different segments of an anchor that go into one block.
+MAX_SEGMENTS = 1 << 13
 
 
 def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -101,67 +113,150 @@ def _anchor_rows(docs: DataFrame, id_type, min_tokens: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def parse_block(segments: list[np.ndarray], docs: np.ndarray, min_tokens: int) -> list[tuple[int, int, int, int]]:
-    """Factors of at least min_tokens of each segment in the segments of smaller documents.
+def _longest(ids: np.ndarray, sa: np.ndarray, rank: np.ndarray, doc: np.ndarray, group: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Length of the longest factor at each position p that a smaller document has.
 
-    docs holds each segment's rank by doc_id.  A factor is (segment, start, end,
-    rank of the smallest document that has its runs); consecutive runs with the
-    same first document are one factor.
+    Suffixes are sorted, so it is shared with the nearest suffix of a smaller
+    document above or below.  Only suffixes of the same group, which begin with
+    the same run, are looked at.
+    """
+    best = np.zeros(len(p), np.int64)
+    for step in (-1, 1):
+        at, who = rank[p].copy(), np.arange(len(p))
+        while len(who):
+            at += step
+            ok = (at >= 0) & (at < len(sa))
+            at, who = at[ok], who[ok]
+            ok = group[at] == group[rank[p[who]]]
+            at, who = at[ok], who[ok]
+            found = doc[sa[at]] < doc[p[who]]
+            a, b, w = p[who[found]], sa[at[found]], who[found]
+            n = np.zeros(len(a), np.int64)
+            act = np.arange(len(a))
+            while len(act):  # token by token; every segment ends with a mark of its own
+                act = act[ids[a[act] + n[act]] == ids[b[act] + n[act]]]
+                n[act] += 1
+            best[w] = np.maximum(best[w], n)
+            at, who = at[~found], who[~found]
+    return best
+
+
+def parse_block(tokens: np.ndarray, sizes: np.ndarray, docs: np.ndarray, min_tokens: int) -> tuple[np.ndarray, ...]:
+    """Greedy factors of at least min_tokens tokens of each segment in the segments of smaller documents.
+
+    tokens has the segments one after the other, docs each segment's rank by
+    doc_id.  Arrays (segment, start, end, rank of the smallest document that has
+    a run of the factor).
     """
-    sizes = np.array([len(s) for s in segments], np.int64)
-    n = int(sizes.sum()) + len(segments)
+    none = (np.zeros(0, np.int64),) * 4
+    k = len(sizes)
+    n = int(sizes.sum()) + k
     first = np.cumsum(sizes + 1) - sizes - 1
-    own = np.repeat(np.arange(len(segments)), sizes + 1)
-    words, inv = np.unique(np.concatenate(segments), return_inverse=True)
+    own = np.repeat(np.arange(k), sizes + 1)
+    words, inv = np.unique(tokens, return_inverse=True)
     ids = np.empty(n, np.int64)
     mark = np.zeros(n, bool)
     mark[first + sizes] = True
-    ids[mark] = np.arange(len(segments))
-    ids[~mark] = inv + len(segments)
+    ids[mark] = np.arange(k)
+    ids[~mark] = inv + k
     sa = suffix_array(ids)
-    # suffixes that begin with the same run are neighbours in the suffix array
+    # suffixes that begin with the same run are neighbours in the suffix array; others begin no factor
     run = tk.gram_hash(ids.view(np.uint64), min_tokens)
     whole = np.zeros(n, bool)
     whole[: len(run)] = np.arange(len(run)) + min_tokens <= first[own[: len(run)]] + sizes[own[: len(run)]]
     sa = sa[whole[sa]]
     if not len(sa):
-        return []
+        return none
+    doc = docs[own]
     key = run[sa]
     new = np.append(True, key[1:] != key[:-1])
-    at = np.flatnonzero(new)
-    least = np.minimum.reduceat(docs[own[sa]], at)
-    ref = np.full(n, -1, np.int64)
-    ref[sa] = np.repeat(least, np.diff(np.append(at, len(sa))))
-    ref[ref >= docs[own]] = -1
-    hit = np.flatnonzero(ref >= 0)
+    group = np.cumsum(new)
+    rank = np.full(n, -1, np.int64)
+    rank[sa] = np.arange(len(sa))
+    cut = np.flatnonzero(new)
+    least = np.full(n, len(docs), np.int64)
+    least[sa] = np.repeat(np.minimum.reduceat(doc[sa], cut), np.diff(np.append(cut, len(sa))))
+    hit = np.flatnonzero(least < doc)
     if not len(hit):
-        return []
-    cut = np.flatnonzero(np.append(True, (np.diff(hit) != 1) | (np.diff(ref[hit]) != 0)))
-    lo, hi = hit[cut], hit[np.append(cut[1:], len(hit)) - 1]
-    return [(int(own[a]), int(a - first[own[a]]), int(b - first[own[a]]) + min_tokens, int(ref[a])) for a, b in zip(lo, hi)]
-
-
-def duplicate_spans(docs: DataFrame, *, doc_id="doc_id", text="text", min_tokens: int = 50) -> DataFrame:
+        return none
+    # the parse: all segments at once, each at its own place
+    seg = np.unique(own[hit])
+    at = first[seg].copy()
+    out: list[tuple[np.ndarray, ...]] = []
+    while len(seg):
+        j = np.searchsorted(hit, at)
+        ok = j < len(hit)
+        seg, p = seg[ok], hit[np.minimum(j[ok], len(hit) - 1)]
+        ok = own[p] == seg
+        seg, p = seg[ok], p[ok]
+        if not len(seg):
+            break
+        length = _longest(ids, sa, rank, doc, group, p)
+        good = length >= min_tokens  # a run that only its hash has in common is none
+        out.append((seg[good], p[good], length[good]))
+        at = p + np.where(good, length - min_tokens + 1, 1)
+    s, p, length = (np.concatenate(x) for x in zip(*out))
+    if not len(s):
+        return none
+    who, q = expand_ranges(p, p + length - min_tokens + 1)
+    r = np.minimum.reduceat(least[q], np.flatnonzero(np.append(True, who[1:] != who[:-1])))
+    return s, p - first[s], p - first[s] + length, r
+
+
+def _blocks(batches, size: int):
+    """Rows in tables of at least size tokens; an anchor's rows are in one table, and rows come in order of anchors."""
+    held: list[pa.RecordBatch] = []
+    tokens = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        a = column_of(b, "a").to_numpy()
+        n = np.cumsum(pc.binary_length(column_of(b, "w")).to_numpy(zero_copy_only=False)) // 8
+        last = column_of(held[-1], "a")[-1].as_py() if held else None
+        starts = np.flatnonzero(np.append(a[0] != last, a[1:] != a[:-1]))
+        lo = 0
+        for x in starts:
+            if tokens + (n[x - 1] if x else 0) - (n[lo - 1] if lo else 0) >= size and (held or x > lo):
+                yield pa.Table.from_batches([*held, b.slice(lo, x - lo)])
+                held, tokens, lo = [], 0, int(x)
+        held.append(b.slice(lo))
+        tokens += int(n[-1] - (n[lo - 1] if lo else 0))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _hashes(w: pa.Array) -> np.ndarray:
+    """The token hashes in a column of raw bytes, row after row."""
+    if isinstance(w, pa.ChunkedArray):
+        w = w.combine_chunks()
+    return np.frombuffer(b"".join(w.to_pylist()), np.uint64)
+
+
+def duplicate_spans(docs: DataFrame, *, doc_id="doc_id", text="text", min_tokens: int = 50, max_segments: int = MAX_SEGMENTS) -> DataFrame:
     """Duplicate spans: doc_id, start_token, end_token, first_doc_id."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
     id_type = docs.schema[doc_id].dataType
+    arrow_id = to_arrow_type(id_type)
     before = min_tokens - min(ANCHOR, min_tokens)
     narrow = docs.select(col(docs, doc_id).alias("d"), col(docs, text).alias("t")).where(F.col("d").isNotNull() & F.col("t").isNotNull())
+    places, _ = written(_anchor_rows(narrow, id_type, min_tokens))
 
-    same = Window.partitionBy("a", "s")
-    whole = Window.partitionBy("a")
-    places = _anchor_rows(narrow, id_type, min_tokens).repartition("a")
-    places = places.withColumn("first", F.min(F.struct("d", "p")).over(same)).withColumn("many", F.min("s").over(whole) != F.max("s").over(whole)).withColumn("last", F.max("d").over(same))
-    shared, _ = written(places.where(F.col("many") | (F.col("last") > F.col("first.d"))).drop("last"))
+    # the different segments of anchors that two documents have, each with its first place
+    segments = places.groupBy("a", "s").agg(F.min(F.struct("d", "p", "e")).alias("first"), F.max("d").alias("last"))
+    several = segments.groupBy("a").agg(F.count(F.lit(1)).alias("k"), F.min("first.d").alias("lo"), F.max("last").alias("hi")).where(F.col("lo") < F.col("hi"))
+    live = segments.join(several.select(F.col("a").alias("ka"), "k").hint("merge"), F.col("a") == F.col("ka")).where((F.col("k") > 1) | (F.col("last") > F.col("first.d")))
+    live, _ = written(live.select("a", "s", "first.d", "first.p", "first.e", "last", "k"))
 
-    equal = shared.where(F.col("d") > F.col("first.d")).select("d", F.greatest(F.col("p") - before, F.lit(0)).alias("x"), F.col("e").alias("y"), F.col("first.d").alias("r"))
+    # what holds at every place p of a segment: the tokens p + x to p + y are a duplicate of r
+    offset = F.least(F.col("p"), F.lit(before))
+    equal = live.where(F.col("last") > F.col("d")).select("a", "s", (-offset).cast("int").alias("x"), (F.col("e") - F.col("p")).cast("int").alias("y"), F.col("d").alias("r"))
 
-    # one place for each different segment of an anchor, by document
-    picks = shared.where(F.col("many") & (F.col("d") == F.col("first.d")) & (F.col("p") == F.col("first.p"))).select("a", "s", "d", "p", "e").distinct()
-    picks = picks.groupBy("d").agg(F.collect_list(F.struct("a", "s", "p", "e")).alias("at"))
+    picks = live.where(F.col("k") > 1).groupBy("d").agg(F.collect_list(F.struct("a", "s", "p", "e", (F.col("k") > max_segments).alias("big"))).alias("at"))
     key = fresh("k", narrow)
     # picks grow with the texts: the same shuffled join at every size
     chosen = narrow.join(picks.withColumnRenamed("d", key).hint("merge"), F.col("d") == F.col(key)).select("d", "t", "at")
-    block = T.StructType([T.StructField("a", T.LongType()), T.StructField("s", T.LongType()), T.StructField("d", id_type), T.StructField("o", T.IntegerType()), T.StructField("w", T.BinaryType())])
+    cut_type = T.StructType([T.StructField("a", T.LongType()), T.StructField("s", T.LongType()), T.StructField("d", id_type), T.StructField("o", T.IntegerType()), T.StructField("big", T.BooleanType()), T.StructField("w", T.BinaryType())])
 
     def cut(batches):
         for b in slices(batches, "t", _PIECE):
@@ -169,44 +264,62 @@ def duplicate_spans(docs: DataFrame, *, doc_id="doc_id", text="text", min_tokens
             lists = column_of(b, "at")
             own = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
             flat = lists.flatten()
-            a, s, p, e = (flat.field(i) for i in range(4))
-            lo = np.maximum(p.to_numpy() - before, 0)
+            a, s, p, e, big = (flat.field(i) for i in range(5))
+            p, e = p.to_numpy(), e.to_numpy()
+            lo = np.maximum(p - before, 0)
             first = t.doc[own]
-            inside = e.to_numpy() <= t.counts[own]  # another text under the same doc_id
-            raw = [t.hash[f + x : f + y].tobytes() for f, x, y in zip(first, lo, e.to_numpy())]
-            out = pa.RecordBatch.from_arrays([a, s, column_of(b, "d").take(pa.array(own)), pa.array(p.to_numpy() - lo, pa.int32()), pa.array(raw, pa.binary())], names=["a", "s", "d", "o", "w"])
-            yield out.filter(pa.array(inside))
+            # another text under the same doc_id may be too short, or have other tokens there
+            fits = e <= t.counts[own]
+            end = np.where(fits, e, lo)
+            seg = tk.range_hash(tk.prefix_hash(t.hash), first + lo, first + end) ^ tk.mix((p - lo).astype(np.uint64))
+            fits &= seg.view(np.int64) == s.to_numpy()
+            raw = [t.hash[f + x : f + y].tobytes() for f, x, y in zip(first, lo, end)]
+            out = pa.RecordBatch.from_arrays([a, s, column_of(b, "d").take(pa.array(own)), pa.array(p - lo, pa.int32()), big, pa.array(raw, pa.binary())], names=cut_type.names)
+            yield out.filter(pa.array(fits))
 
-    factor = T.StructType([T.StructField("fa", T.LongType()), T.StructField("fs", T.LongType()), T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType()), T.StructField("r", id_type)])
+    rule = T.StructType([T.StructField("a", T.LongType()), T.StructField("s", T.LongType()), T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType()), T.StructField("r", id_type)])
 
     def parse(batches):
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        held, size = [], 0
-
-        def flush():
-            ids = sorted({r["d"] for r in held})
-            rank = {d: i for i, d in enumerate(ids)}
-            segs = [np.frombuffer(r["w"], np.uint64) for r in held]
-            found = parse_block(segs, np.array([rank[r["d"]] for r in held]), min_tokens)
-            rows = [(held[i]["a"], held[i]["s"], x - held[i]["o"], y - held[i]["o"], ids[r]) for i, x, y, r in found]
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), to_arrow_type(id_type))
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], ty) for i, ty in enumerate(types)], names=["fa", "fs", "x", "y", "r"])
-
-        for b in batches:
-            for r in b.to_pylist():
-                if held and size >= BLOCK_TOKENS and r["a"] != held[-1]["a"]:
-                    yield flush()
-                    held, size = [], 0
-                held.append(r)
-                size += len(r["w"]) // 8
-        if held:
-            yield flush()
-
-    factors = chosen.mapInArrow(cut, block).repartition("a").sortWithinPartitions("a").mapInArrow(parse, factor)
-    partial = shared.where("many").join(factors, (F.col("a") == F.col("fa")) & (F.col("s") == F.col("fs"))).select("d", (F.col("p") + F.col("x")).alias("x"), (F.col("p") + F.col("y")).alias("y"), "r").where(F.col("r") < F.col("d"))
-
-    spans = equal.unionByName(partial)
+        for block in _blocks(batches, BLOCK_TOKENS):
+            sizes = pc.binary_length(block["w"]).to_numpy() // 8
+            doc = ranked(block["d"])
+            s, x, y, r = parse_block(_hashes(block["w"]), sizes.astype(np.int64), doc, min_tokens)
+            if not len(s):
+                continue
+            o = block["o"].to_numpy()[s]
+            holder = np.zeros(doc.max() + 1, np.int64)
+            holder[doc] = np.arange(len(doc))
+            yield pa.RecordBatch.from_arrays(
+                [block["a"].combine_chunks().take(pa.array(s)), block["s"].combine_chunks().take(pa.array(s)), pa.array(x - o, pa.int32()), pa.array(y - o, pa.int32()), block["d"].combine_chunks().take(pa.array(holder[r])).cast(arrow_id)], names=rule.names
+            )
+
+    rules = equal
+    crowded = not live.where(F.col("k") > max_segments).isEmpty()
+    cuts = chosen.mapInArrow(cut, cut_type)
+    if crowded:
+        cuts, _ = written(cuts)
+    rules = rules.unionByName(cuts.where("not big").repartition("a").sortWithinPartitions("a").mapInArrow(parse, rule))
+    if crowded:
+        grams_type = T.StructType([*rule.fields[:3], T.StructField("d", id_type), T.StructField("h", T.LongType())])
+
+        def runs(batches):
+            for b in batches:
+                sizes = pc.binary_length(column_of(b, "w")).to_numpy(zero_copy_only=False) // 8
+                tokens, start = _hashes(column_of(b, "w")), np.cumsum(sizes) - sizes
+                who, q = expand_ranges(start, start + sizes - min_tokens + 1)
+                h = tk.gram_hash(tokens, min_tokens)
+                o = column_of(b, "o").to_numpy()
+                take = pa.array(who)
+                yield pa.RecordBatch.from_arrays([column_of(b, "a").take(take), column_of(b, "s").take(take), pa.array(q - start[who] - o[who], pa.int32()), column_of(b, "d").take(take), pa.array(h[q].view(np.int64))], names=grams_type.names)
+
+        grams = cuts.where("big").mapInArrow(runs, grams_type)
+        least = grams.groupBy(F.col("h").alias("lh")).agg(F.min("d").alias("r"))
+        more = grams.join(least.hint("merge"), F.col("h") == F.col("lh")).where(F.col("r") < F.col("d"))
+        rules = rules.unionByName(more.select("a", "s", "x", (F.col("x") + min_tokens).cast("int").alias("y"), "r"))
+
+    ka, ks = F.col("ka"), F.col("ks")
+    spans = places.join(rules.withColumnsRenamed({"a": "ka", "s": "ks"}).hint("merge"), (F.col("a") == ka) & (F.col("s") == ks)).where(F.col("r") < F.col("d"))
+    spans = spans.select("d", (F.col("p") + F.col("x")).alias("x"), (F.col("p") + F.col("y")).alias("y"), "r")
     order = Window.partitionBy("d").orderBy("x", "y")
     reach = F.max("y").over(order.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("new", F.when(reach.isNull() | (F.col("x") > reach), 1).otherwise(0))

@@ -422,6 +422,74 @@ def test_op8(spark, odd, none, least):
     assert rlz_substrings.duplicate_spans(odd, min_tokens=least).count() == 0 == rlz_substrings.duplicate_spans(none, min_tokens=least).count()
 
 
+def brute_factors(segments, docs, least):
+    """Greedy: at each place the longest run that a segment of a smaller document has; then on from its last least - 1 tokens."""
+    out = []
+    for i, w in enumerate(segments):
+        p = 0
+        while p + least <= len(w):
+            best = 0
+            for j, v in enumerate(segments):
+                if docs[j] < docs[i]:
+                    for q in range(len(v)):
+                        n = 0
+                        while p + n < len(w) and q + n < len(v) and w[p + n] == v[q + n]:
+                            n += 1
+                        best = max(best, n)
+            if best >= least:
+                runs = [tuple(w[x : x + least]) for x in range(p, p + best - least + 1)]
+                having = [docs[j] for j, v in enumerate(segments) for q in range(len(v) - least + 1) if tuple(v[q : q + least]) in runs]
+                out.append((i, p, p + best, min(having)))
+            p += best - least + 1 if best >= least else 1
+    return sorted(out)
+
+
+def test_op8_factors():
+    rng = np.random.default_rng(88)
+    for least, vocabulary in ((3, 2), (4, 3), (5, 40)):
+        base = rng.integers(0, vocabulary, 40)
+        segments = []
+        for _ in range(14):
+            lo = int(rng.integers(0, 25))
+            parts = [base[lo : lo + int(rng.integers(2, 15))], rng.integers(0, vocabulary, int(rng.integers(0, 6))), base[: int(rng.integers(0, 9))]]
+            segments.append(np.concatenate(parts).astype(np.uint64) * np.uint64(7919))
+        docs = rng.integers(0, 6, 14)
+        got = rlz_substrings.parse_block(np.concatenate(segments), np.array([len(x) for x in segments]), docs, least)
+        want = brute_factors([x.tolist() for x in segments], docs.tolist(), least)
+        assert want and sorted(zip(*(x.tolist() for x in got))) == want
+
+
+def test_op8_blocks_keep_anchors_together():
+    rng = np.random.default_rng(5)
+    a = np.repeat(np.arange(30), rng.integers(1, 9, 30))
+    w = [b"x" * 8 * int(n) for n in rng.integers(1, 20, len(a))]
+    batch = pa.RecordBatch.from_arrays([pa.array(a), pa.array(w, pa.binary())], names=["a", "w"])
+    for cut in (1, 7, len(a)):
+        tables = list(rlz_substrings._blocks((batch.slice(i, cut) for i in range(0, len(a), cut)), 60))
+        assert pa.concat_tables(tables).to_batches() and pa.concat_tables(tables)["w"].to_pylist() == w
+        seen = [set(t["a"].to_pylist()) for t in tables]
+        assert len(seen) > 5 and not any(x & y for x, y in combinations(seen, 2))
+        assert all(sum(map(len, t["w"].to_pylist())) // 8 >= 60 for t in tables[:-1])
+
+
+def test_op8_crowded_anchors_and_repeated_ids(spark):
+    """A phrase in many surroundings, by blocks and by hashes; texts that differ under one id."""
+    rng = np.random.default_rng(80)
+    phrase = prose(rng, 30)
+    tails = [prose(rng, 25) for _ in range(4)]
+    rows = [(d, f"{prose(rng, int(rng.integers(5, 40)))} {phrase} {tails[d % 4] if d % 3 else ''} {prose(rng, 40)}") for d in range(40)]
+    want = brute_spans(rows, 50)
+    assert len(want) > 15
+    df = docs_of(spark, [(d, t, "s") for d, t in rows])
+    for most in (2, 100):
+        assert sorted(tuple(r) for r in rlz_substrings.duplicate_spans(df, max_segments=most).collect()) == want
+    # two texts under id 1, each with a passage that others have
+    one, two = prose(rng, 60), prose(rng, 70)
+    twice = [(0, one), (1, "lead " + one), (1, two), (2, two + " tail")]
+    got = sorted(tuple(r) for r in rlz_substrings.duplicate_spans(docs_of(spark, [(d, t, "s") for d, t in twice])).collect())
+    assert got == [(1, 1, 61, 0), (2, 0, 70, 1)]
+
+
 # -- 9 -----------------------------------------------------------------------
 
 
