@@ -294,41 +294,108 @@ def page(title, items, note=""):
     return f"<html><head><title>{title}</title></head><body><h1>Shop</h1><!-- {title} --><ul>" + "".join(f"<li><b>Name:</b> {a} <i>Price:</i> {b}</li>" for a, b in items) + f"</ul><p>Contact us {note}</p></body></html>"
 
 
+def slots_of(spark, rows, **options):
+    """(template, [(slot, field, text)]) by page_id; a list where an id is repeated."""
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({c: F.lit(1) for c in CLASH})
+    out = defaultdict(list)
+    for r in template_extraction.extract(df, **options).collect():
+        out[r["page_id"]].append((r["template"], [tuple(s) for s in r["slots"]]))
+    return out
+
+
+def shop(n=12, note=lambda i: f"note{i}"):
+    return [(i, f"http://Shop.example/{i}?q", page(f"Title{i} &amp; co", [(f"thing{i}{j}", f"{i}{j}") for j in range(1 + i % 4)], note(i))) for i in range(n)]
+
+
 def test_op5(spark):
-    rows, want = [], {}
+    rows, want = shop(), {}
     for i in range(12):
-        items = [(f"thing{i}{j}", f"{i}{j}") for j in range(1 + i % 4)]
-        rows.append((i, f"http://Shop.example/{i}?q", page(f"Title{i} &amp; co", items, f"note{i}")))
-        want[i] = [f"Title{i}", *[x for pair in items for x in pair], f"note{i}"]
+        want[i] = [f"Title{i}", *[x for j in range(1 + i % 4) for x in (f"thing{i}{j}", f"{i}{j}")], f"note{i}"]
     rows += [(50, None, page("a", [])), (51, "http://few.example/1", "<p>free text</p>"), (52, "http://shop.example/x", None), (53, "http://shop.example/y", ""), (None, "no host", "x <b>y"), (51, "http://few.example/1", "<p>free text</p>"), (54, "http://shop.example/z", "<p" * 500 + "<<>> </b></ul> <li"), (55, "http://shop.example/long", "<p>" + "word " * 50_000)]
-    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({c: F.lit(1) for c in CLASH})
-    got = template_extraction.extract(df).collect()
-    assert len(got) == len(rows)
-    by = defaultdict(list)
-    for r in got:
-        by[r["page_id"]].append([s["text"] for s in r["slots"]])
+    by = slots_of(spark, rows)
+    assert sum(map(len, by.values())) == len(rows)
     for i, w in want.items():
-        assert by[i] == [w], (i, by[i])
-    assert by[51] == [["free text"]] * 2 and by[52] == by[53] == [[]] and by[None] == [["x y"]]
-    assert template_extraction.extract(df.limit(0)).count() == 0
-    again = {(r["page_id"], str(r["slots"])) for r in template_extraction.extract(df.repartition(7)).collect()}
-    assert again == {(r["page_id"], str(r["slots"])) for r in got}
-
-
-def test_op5_pages_without_tokens_leave_slot_numbers(spark):
-    """Null, empty and blank pages of a host change neither the slots nor their numbers on its other pages."""
-    rows = [(i, f"http://shop.example/{i}", page(f"Title{i}", [(f"thing{i}{j}", f"{i}{j}") for j in range(1 + i % 4)], f"note{i}")) for i in range(12)]
-    empty = [(50, "http://shop.example/a", None), (51, "http://shop.example/b", ""), (52, "http://shop.example/c", " \n\t\u00a0 ")]
-    few = [(60 + i, f"http://few.example/{i}", page(f"T{i}", [])) for i in range(4)] + [(64, "http://few.example/4", "")]
-    schema = "page_id bigint, url string, html string"
-    slots = lambda x: {r["page_id"]: [tuple(s) for s in r["slots"]] for r in template_extraction.extract(spark.createDataFrame(x, schema)).collect()}
-    alone, got = slots(rows), slots(rows + empty + few)
-    assert {i: got[i] for i in alone} == alone and got[50] == got[51] == got[52] == []
+        assert [[t for *_, t in slots] for _, slots in by[i]] == [w], (i, by[i])
+    assert [[t for *_, t in slots] for _, slots in by[51]] == [["free text"]] * 2 and by[52] == by[53] == [(0, [])] and by[None] == [(0, [(0, 0, "x y")])]
+    assert not slots_of(spark, rows[:0])
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    once, again = ({(r["page_id"], str(r["slots"])) for r in template_extraction.extract(x).collect()} for x in (df, df.repartition(7)))
+    assert once == again
+
+
+def numbers(slots):
+    return {t: (s, f) for s, f, t in slots}
+
+
+def test_op5_slot_numbers(spark):
+    """Values of a record have one slot and a field each; odd pages of the host change nothing on the others."""
+    rows = shop()
+    odd = [(50, "http://shop.example/a", None), (51, "http://shop.example/b", ""), (52, "http://shop.example/c", " \n\t\u00a0 "), (53, "http://shop.example/404", "<html><body><h1>Not found</h1><p>Nothing here at gone</p></body></html>")]
+    alone, got = slots_of(spark, rows), slots_of(spark, rows + odd)
+    assert {i: got[i] for i in alone} == alone and got[50] == got[51] == got[52] == [(0, [])]
+    first = numbers(got[3][0][1])
     for i in range(12):
-        numbers = {t: n for n, t in got[i]}
-        assert numbers[f"Title{i}"] == dict((t, n) for n, t in got[0])["Title0"] > 0
-        assert numbers[f"note{i}"] == dict((t, n) for n, t in got[0])["note0"] > numbers[f"Title{i}"]
-    assert all({n for n, _ in got[60 + i]} == {0} for i in range(4))
+        (template, slots), = got[i]
+        at = numbers(slots)
+        assert template == 1 and at[f"Title{i}"][0] == first["Title3"][0] > 0 and at[f"note{i}"][0] == first["note3"][0] > at[f"Title{i}"][0]
+        for j in range(1 + i % 4):
+            assert at[f"thing{i}{j}"] == first["thing30"] and at[f"{i}{j}"] == first["30"]
+    assert first["thing30"][0] == first["30"][0] and first["thing30"][1] != first["30"][1] > 0
+    assert "Contact" not in str(got) and "Shop" not in str([got[i] for i in range(12)])
+
+
+def test_op5_parts_that_a_page_lacks(spark):
+    """A page without one part of the template keeps the slot numbers of the others."""
+    def html(i):
+        extra = f"<div><h2>Special offer</h2><em>save{i} now</em></div>" if i % 5 else ""
+        return f"<html><body><h1>Welcome to</h1><b>name{i}</b>{extra}<p>Contact us at tel{i}</p></body></html>"
+
+    got = slots_of(spark, [(i, f"http://a.example/{i}", html(i)) for i in range(40)])
+    want = numbers(got[1][0][1])
+    for i in range(40):
+        at = numbers(got[i][0][1])
+        assert at[f"name{i}"] == want["name1"] and at[f"tel{i}"] == want["tel1"] and got[i][0][0] == 1
+        assert set(at) == {f"name{i}", f"tel{i}"} | ({f"save{i}"} if i % 5 else set())
+
+
+def test_op5_several_templates(spark):
+    """Pages of a second layout on the host have a template of their own; its labels are no content."""
+    rows = shop(20)
+    rows += [(100 + i, f"http://shop.example/help/{i}", f"<html><body><table><tr><th>Question number</th><td>q{i} text</td></tr><tr><th>Our answer</th><td>a{i}</td></tr></table><div>Was this useful</div></body></html>") for i in range(8)]
+    got = slots_of(spark, rows)
+    assert {got[i][0][0] for i in range(20)} == {1} and {got[100 + i][0][0] for i in range(8)} == {2}
+    one = numbers(got[100][0][1])
+    for i in range(8):
+        at = numbers(got[100 + i][0][1])
+        assert list(at) == [f"q{i}", f"a{i}"] and at[f"q{i}"] == one["q0"] and at[f"a{i}"] == one["a0"] and one["q0"] < one["a0"]
+    assert "Shop" not in str([got[i] for i in range(20)])
+
+
+def test_op5_nested_classes(spark):
+    """Lists in lists: the inner records' labels are a class within the outer class."""
+    def html(i):
+        groups = "".join(f"<section><h2>Group of</h2>g{i}{g}<ul>" + "".join(f"<li><b>Item:</b> v{i}{g}{k} <i>Cost:</i> {i}{g}{k}c</li>" for k in range(1 + (i + g) % 3)) + "</ul><p>End of group</p></section>" for g in range(1 + i % 3))
+        return f"<html><body><h1>All groups</h1>{groups}<p>The end t{i}</p></body></html>"
+
+    got = slots_of(spark, [(i, f"http://n.example/{i}", html(i)) for i in range(24)])
+    one = numbers(got[2][0][1])
+    for i in range(24):
+        at = numbers(got[i][0][1])
+        want = [x for g in range(1 + i % 3) for x in (f"g{i}{g}", *[y for k in range(1 + (i + g) % 3) for y in (f"v{i}{g}{k}", f"{i}{g}{k}c")])] + [f"t{i}"]
+        assert [t for *_, t in got[i][0][1]] == want
+        assert len({at[t][0] for t in want[:-1]}) == 1 and at[f"t{i}"] == one["t2"]
+        assert {at[t] for t in want if t[0] == "v"} == {one["v200"]} and {at[t] for t in want if t[0] == "g"} == {one["g20"]} and {at[t] for t in want if t[-1] == "c"} == {one["200c"]}
+    assert len({one["v200"], one["g20"], one["200c"]}) == 3
+
+
+def test_op5_small_hosts(spark):
+    """On few pages only tags make the template: no word is lost, and slots still line up."""
+    got = slots_of(spark, [(i, f"http://few.example/{i}", page(f"T{i}", [(f"x{i}", "same")], "both")) for i in range(3)] + [(9, "http://one.example/", "<p>single</p>")])
+    for i in range(3):
+        assert [t for *_, t in got[i][0][1]] == [f"T{i}", "Shop", "Name:", f"x{i}", "Price:", "same", "Contact us both"]
+        assert [x[:2] for x in got[i][0][1]] == [x[:2] for x in got[0][0][1]] and got[i][0][0] == 1
+    assert got[9] == [(0, [(0, 0, "single")])]
+
 
 # -- 6 -----------------------------------------------------------------------
 
