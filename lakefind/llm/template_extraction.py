@@ -54,7 +54,6 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -246,7 +245,7 @@ def _sequences(batches, arrow_id):
         seq = place[stay] - first[own[page[stay]]]
         off = np.append(0, np.cumsum(np.bincount(page[stay], minlength=len(htmls))))
         text = column_of(b, "t")
-        rest = pc.if_else(pa.array(good), pa.scalar(None, text.type), text)
+        rest = text.take(pa.array(np.arange(len(good)), mask=good))
         yield pa.RecordBatch.from_arrays(
             [column_of(b, "i").cast(arrow_id), column_of(b, "h"), pa.array(good), pa.array(tk.string_hashes(text).view(np.int64)), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(seq, pa.int32())), rest], names=["i", "h", "good", "mark", "seq", "t"]
         )
