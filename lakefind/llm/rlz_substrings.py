@@ -113,6 +113,20 @@ def _anchor_rows(docs: DataFrame, id_type, min_tokens: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _common(ids: np.ndarray, a: np.ndarray, b: np.ndarray, width: int = 32) -> np.ndarray:
+    """How many tokens from places a and from places b are the same; ids goes on for width after its end."""
+    out = np.zeros(len(a), np.int64)
+    ahead = np.arange(width)
+    for at in range(0, len(a), 1 << 15):
+        act = np.arange(at, min(at + (1 << 15), len(a)))
+        while len(act):  # every segment ends with a mark of its own, so no match runs on beyond it
+            same = ids[(a[act] + out[act])[:, None] + ahead] == ids[(b[act] + out[act])[:, None] + ahead]
+            whole = same.all(axis=1)
+            out[act] += np.where(whole, width, np.argmin(same, axis=1))
+            act = act[whole]
+    return out
+
+
 def _longest(ids: np.ndarray, sa: np.ndarray, rank: np.ndarray, doc: np.ndarray, group: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Length of the longest factor at each position p that a smaller document has.
 
@@ -130,13 +144,8 @@ def _longest(ids: np.ndarray, sa: np.ndarray, rank: np.ndarray, doc: np.ndarray,
             ok = group[at] == group[rank[p[who]]]
             at, who = at[ok], who[ok]
             found = doc[sa[at]] < doc[p[who]]
-            a, b, w = p[who[found]], sa[at[found]], who[found]
-            n = np.zeros(len(a), np.int64)
-            act = np.arange(len(a))
-            while len(act):  # token by token; every segment ends with a mark of its own
-                act = act[ids[a[act] + n[act]] == ids[b[act] + n[act]]]
-                n[act] += 1
-            best[w] = np.maximum(best[w], n)
+            w = who[found]
+            best[w] = np.maximum(best[w], _common(ids, p[w], sa[at[found]]))
             at, who = at[~found], who[~found]
     return best
 
@@ -180,6 +189,7 @@ def parse_block(tokens: np.ndarray, sizes: np.ndarray, docs: np.ndarray, min_tok
     if not len(hit):
         return none
     # the parse: all segments at once, each at its own place
+    padded = np.append(ids, np.full(32, -1)).astype(np.int32)
     seg = np.unique(own[hit])
     at = first[seg].copy()
     out: list[tuple[np.ndarray, ...]] = []
@@ -191,7 +201,7 @@ def parse_block(tokens: np.ndarray, sizes: np.ndarray, docs: np.ndarray, min_tok
         seg, p = seg[ok], p[ok]
         if not len(seg):
             break
-        length = _longest(ids, sa, rank, doc, group, p)
+        length = _longest(padded, sa, rank, doc, group, p)
         good = length >= min_tokens  # a run that only its hash has in common is none
         out.append((seg[good], p[good], length[good]))
         at = p + np.where(good, length - min_tokens + 1, 1)
