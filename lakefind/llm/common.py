@@ -91,6 +91,36 @@ def small_enough(table: DataFrame, path: str, limit: int = BROADCAST_BYTES) -> D
     return F.broadcast(table) if size_of(table.sparkSession, path) <= limit else table
 
 
+#: A group with more than 1/HOT of all rows is hot; there are fewer than HOT of them, whatever the data.
+HOT = 1000
+
+
+def attach_by_group(rows: DataFrame, group: str, table: DataFrame, path: str, key: str, totals: DataFrame, total: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Rows left-joined with a written table that has at most one row a group.
+
+    A small table is broadcast.  Beyond that both sides are shuffled by group and
+    salt: a hot group's rows spread over as many salts as it has thousandths of
+    all rows, and its row of the table is repeated for each.  totals has the rows
+    of each group (columns key and total); only its hot groups are broadcast.
+    """
+    if size_of(rows.sparkSession, path) <= limit:
+        return rows.join(F.broadcast(table), col(rows, group) == col(table, key), "left")
+    every = totals.agg(F.sum(total)).first()[0] or 0
+    salts = F.ceil(F.col(total) * HOT / F.lit(max(1, every))).cast("int")
+    hot = totals.select(F.col(key).alias("lf_hot"), salts.alias("lf_salts")).where(F.col("lf_salts") > 1)
+    names = [fresh(x, rows, table) for x in ("lf_hot", "lf_salts", "lf_salt", "lf_other")]
+    hot = hot.toDF(*names[:2])
+    by = table.join(F.broadcast(hot), col(table, key) == F.col(names[0]), "left")
+    by = by.withColumn(names[3], F.explode(F.sequence(F.lit(0), F.coalesce(F.col(names[1]), F.lit(1)) - 1))).select(*[col(by, c) for c in table.columns], names[3])
+    left = rows.join(F.broadcast(hot), col(rows, group) == F.col(names[0]), "left")
+    # by the row's own values: a task that is run again sends its rows to the same places
+    values = [col(left, f.name) for f in rows.schema.fields if not isinstance(f.dataType, T.MapType | T.VariantType)]
+    salt = F.when(F.col(names[1]) > 1, F.pmod(F.xxhash64(*values), F.col(names[1]))).otherwise(0).cast("int")
+    left = left.withColumn(names[2], salt).select(*[col(left, c) for c in rows.columns], names[2])
+    joined = left.join(by.hint("merge"), (col(left, group) == col(by, key)) & (F.col(names[2]) == F.col(names[3])), "left")
+    return joined.select(*[col(joined, c) for c in (*rows.columns, *table.columns)])
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a slice's texts have at most max_bytes, or a slice has one row."""
     for b in batches:

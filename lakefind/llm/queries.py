@@ -108,7 +108,7 @@ WITH l AS (SELECT doc_id, source, i, line, trim(line) AS k
                  FROM documents WHERE text IS NOT NULL AND source IS NOT NULL)),
 pages AS (SELECT source, count(*) AS total FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY source),
 bad AS (SELECT source, k FROM (SELECT source, k, count(DISTINCT doc_id) AS n FROM l WHERE k <> '' GROUP BY source, k) JOIN pages USING (source)
-        WHERE total >= 20 AND n >= 3 AND n > 0.1 * total),
+        WHERE n >= 5 AND n > 0.002 * total),
 kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) FILTER (bad.k IS NULL) AS t, count(bad.k) AS dropped
          FROM l LEFT JOIN bad ON l.source = bad.source AND l.k = bad.k GROUP BY l.doc_id)
 SELECT d.doc_id, d.source, CASE WHEN dropped > 0 THEN coalesce(t, '') ELSE d.text END AS text,
@@ -139,12 +139,20 @@ SELECT doc_id, CAST(min(p) AS INTEGER) AS start_token, CAST(max(p) + 50 AS INTEG
 
 _VALUES = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in license_join.TEMPLATES.items())
 SQL_10 = f"""
-WITH t AS (SELECT template, list_distinct(regexp_extract_all(lower(text), '{TOKEN_RE}')) AS w FROM (VALUES {_VALUES}) AS v(template, text)),
-l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL),
-b AS (SELECT doc_id, i, list_distinct(regexp_extract_all(lower(line), '{TOKEN_RE}')) AS w FROM l),
-c AS (SELECT doc_id, i, template, len(list_intersect(b.w, t.w)) AS common, len(t.w) AS size FROM b JOIN t ON list_has_any(b.w, t.w))
-SELECT doc_id, CAST(i AS INTEGER) AS line, template, CAST(common AS INTEGER) AS common_tokens, common / size AS containment
-FROM c WHERE common >= greatest(1, ceil(0.8 * size - 1e-9))
+WITH t AS (SELECT template, list_distinct(w) AS w, len(list_distinct(w)) AS size, 2 * len(w) AS cap, greatest(1, ceil(0.8 * len(list_distinct(w)) - 1e-9)) AS need
+           FROM (SELECT template, regexp_extract_all(lower(text), '{TOKEN_RE}') AS w FROM (VALUES {_VALUES}) AS v(template, text))),
+d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents WHERE text IS NOT NULL),
+l AS (SELECT r, doc_id, i, regexp_extract_all(lower(line), '{TOKEN_RE}') AS w FROM (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM d)),
+p AS (SELECT r, doc_id, i, w, count_if(len(w) = 0) OVER o AS part, sum(len(w)) OVER o AS ends FROM l WINDOW o AS (PARTITION BY r ORDER BY i)),
+h AS (SELECT r, doc_id, i, part, ends, ends - len(p.w) AS begins, template, list_intersect(list_distinct(p.w), t.w) AS c, size, cap, need FROM p JOIN t ON list_has_any(p.w, t.w)),
+rich AS (SELECT r, part, template FROM h GROUP BY r, part, template HAVING len(list_distinct(flatten(list(c)))) >= any_value(need)),
+q AS (SELECT h.* FROM h JOIN rich USING (r, part, template)),
+c AS (SELECT a.r, a.doc_id, a.template, a.size, a.i AS line, b.i AS last_line, len(list_distinct(flatten(list(m.c)))) AS common
+      FROM q a JOIN q b ON a.r = b.r AND a.part = b.part AND a.template = b.template AND b.i >= a.i AND (b.i = a.i OR b.ends - a.begins <= a.cap)
+      JOIN q m ON m.r = a.r AND m.part = a.part AND m.template = a.template AND m.i BETWEEN a.i AND b.i
+      GROUP BY ALL HAVING common >= any_value(a.need)),
+s AS (SELECT * FROM c WHERE line = last_line OR NOT EXISTS (SELECT 1 FROM c x WHERE x.r = c.r AND x.template = c.template AND x.line >= c.line AND x.last_line <= c.last_line AND (x.line > c.line OR x.last_line < c.last_line)))
+SELECT doc_id, CAST(line AS INTEGER) AS line, CAST(last_line AS INTEGER) AS last_line, template, CAST(common AS INTEGER) AS common_tokens, common / size AS containment FROM s
 """
 
 

@@ -59,7 +59,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens as tk
-from .common import as_strings, col, column_of, expand_ranges, slices, small_enough, written
+from .common import as_strings, attach_by_group, col, column_of, expand_ranges, slices, small_enough, written
 
 _PIECE = 4 << 20
 #: Bytes of HTML whose tokens are counted together when candidates are looked for.
@@ -396,14 +396,14 @@ def _extract(batches, arrow_id, number: int, every: bool):
         yield out.filter(pa.array(good))
 
 
-def _attach(table: DataFrame, path: str, rows: DataFrame) -> DataFrame:
+def _attach(table: DataFrame, path: str, rows: DataFrame, totals: DataFrame) -> DataFrame:
     """Rows with their host's list in column m; an empty one for a host that has none."""
-    joined = rows.join(small_enough(table.withColumnRenamed("h", "kh"), path), F.col("h") == F.col("kh"), "left")
+    joined = attach_by_group(rows, "h", table.withColumnRenamed("h", "kh"), path, "kh", totals.select(F.col("h").alias("kh"), "total"), "total")
     return joined.withColumn("m", F.coalesce("m", F.array().cast(table.schema["m"].dataType))).drop("kh")
 
 
-def _deduce(pages: DataFrame, arrow_id, id_type, support: float, min_class: int, min_word_pages: int, tolerance: float) -> tuple[DataFrame, str, DataFrame]:
-    """The lists of template tokens by host, their path, and the sequences table of the pages (with those set aside)."""
+def _deduce(pages: DataFrame, arrow_id, id_type, support: float, min_class: int, min_word_pages: int, tolerance: float) -> tuple[DataFrame, str, DataFrame, DataFrame]:
+    """The lists of template tokens by host, their path, the sequences table of the pages (with those set aside), and the hosts' pages."""
     totals, totals_path = written(pages.groupBy("h").agg(F.count(F.lit(1)).alias("total")))
     rows = pages.select("i", "h", "t")
     found = rows.mapInArrow(lambda x: _candidates(x, support), "h string, k long, tag boolean, once long").groupBy("h", "k", "tag").agg(F.sum("once").alias("once"))
@@ -412,7 +412,7 @@ def _deduce(pages: DataFrame, arrow_id, id_type, support: float, min_class: int,
     table, path = written(listed)
     id_field = T.StructField("i", id_type)
     seq_type = T.StructType([id_field, T.StructField("h", T.StringType()), T.StructField("good", T.BooleanType()), T.StructField("mark", T.LongType()), T.StructField("seq", T.ArrayType(T.IntegerType())), T.StructField("t", T.StringType())])
-    sequences, _ = written(_attach(table, path, rows).mapInArrow(lambda x: _sequences(x, arrow_id), seq_type))
+    sequences, _ = written(_attach(table, path, rows, totals).mapInArrow(lambda x: _sequences(x, arrow_id), seq_type))
     mine = sequences.where("good").select("h", "mark", "seq")
 
     sums = mine.mapInArrow(_vectors, "h string, x int, n long, lo long, hi long, m long, at double").groupBy("h", "x").agg(*[F.sum(c).alias(c) for c in ("n", "lo", "hi", "m", "at")])
@@ -437,7 +437,7 @@ def _deduce(pages: DataFrame, arrow_id, id_type, support: float, min_class: int,
 
     nothing = F.lit(-1)
     first, first_path = lists(frequent.where("once").select("h", "x", F.lit(0).alias("c")), {"c": "c", "o": nothing, "z": nothing, "f": nothing})
-    variants = _attach(first, first_path, mine).mapInArrow(_skeletons, "h string, v long, s array<int>, pages long").groupBy("h", "v").agg(F.sum("pages").alias("pages"), F.first("s").alias("s"))
+    variants = _attach(first, first_path, mine, totals).mapInArrow(_skeletons, "h string, v long, s array<int>, pages long").groupBy("h", "v").agg(F.sum("pages").alias("pages"), F.first("s").alias("s"))
     enough = variants.join(counted, F.col("h") == F.col("th")).where(F.col("pages") >= F.lit(0.05) * F.col("total"))
     order = enough.groupBy("h").agg(F.max_by("s", F.struct(F.size("s"), "pages", "v")).alias("s")).select("h", F.posexplode("s").alias("o", "x"))
     order, _ = written(order)
@@ -449,7 +449,7 @@ def _deduce(pages: DataFrame, arrow_id, id_type, support: float, min_class: int,
     members, _ = written(members)
 
     second, second_path = lists(members, {"c": "c", "o": "o", "z": "z", "f": nothing})
-    checks = _attach(second, second_path, mine).mapInArrow(_checks, "h string, c int, x int, d int, gap int, n long").groupBy("h", "c", "x", "d", "gap").agg(F.sum("n").alias("n"))
+    checks = _attach(second, second_path, mine, totals).mapInArrow(_checks, "h string, c int, x int, d int, gap int, n long").groupBy("h", "c", "x", "d", "gap").agg(F.sum("n").alias("n"))
     checks, _ = written(checks)
     late = checks.where(F.col("x") >= 0).join(sums.select("h", "x", F.col("n").alias("pages")), ["h", "x"]).where(F.col("n") > F.lit(tolerance) * F.col("pages")).select("h", "x")
     ordered = checks.where(F.col("d") == -1).groupBy("h", "c").agg(F.sum(F.when(F.col("gap") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("all")).where(F.col("bad") <= F.lit(tolerance) * F.col("all"))
@@ -466,7 +466,7 @@ def _deduce(pages: DataFrame, arrow_id, id_type, support: float, min_class: int,
     roots = members.where(F.col("c") == 0).join(late, ["h", "x"], "left_anti").withColumn("f", F.lit(0))
     inner = members.where(F.col("c") > 0).join(valid, ["h", "c"], "left_semi").select(*members.columns).withColumn("f", F.row_number().over(Window.partitionBy("h").orderBy("c", "o")))
     last, last_path = lists(roots.unionByName(inner), {"c": "c", "o": "o", "z": "z", "f": "f"})
-    return last, last_path, sequences
+    return last, last_path, sequences, totals
 
 
 def extract(pages: DataFrame, *, page_id="page_id", url="url", html="html", support: float = 0.5, min_class: int = 2, min_word_pages: int = 5, tolerance: float = 0.05, max_templates: int = 4) -> DataFrame:
@@ -484,8 +484,8 @@ def extract(pages: DataFrame, *, page_id="page_id", url="url", html="html", supp
     out = source.where(~counts).withColumn("m", nothing).mapInArrow(lambda x: _extract(x, arrow_id, 0, True), schema)
     rest = source.where(counts)
     for number in range(1, max_templates + 1):
-        table, path, sequences = _deduce(rest, arrow_id, id_type, support, min_class, min_word_pages, tolerance)
-        mine = _attach(table, path, rest)
+        table, path, sequences, totals = _deduce(rest, arrow_id, id_type, support, min_class, min_word_pages, tolerance)
+        mine = _attach(table, path, rest, totals)
         out = out.unionByName(mine.mapInArrow(lambda x, n=number: _extract(x, arrow_id, n, False), schema))
         aside = sequences.where(~F.col("good")).select("i", "h", "t")
         if aside.isEmpty():

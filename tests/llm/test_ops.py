@@ -130,10 +130,10 @@ def test_op1(spark, odd, none):
 # -- 2 -----------------------------------------------------------------------
 
 
-def brute_lines(rows, ratio=0.1, min_pages=20, least=3):
+def brute_lines(rows, ratio=0.002, least=5):
     pages = Counter(s for _, t, s in rows if t is not None and s is not None)
     have = Counter((s, line) for _, t, s in rows if t is not None and s is not None for line in {x.strip(" ") for x in t.split("\n")} if line)
-    bad = {k for k, n in have.items() if pages[k[0]] >= min_pages and n >= least and n > ratio * pages[k[0]]}
+    bad = {k for k, n in have.items() if n >= least and n > ratio * pages[k[0]]}
     out = []
     for d, t, s in rows:
         if t is None or s is None or not any((s, x.strip(" ")) in bad for x in t.split("\n")):
@@ -156,16 +156,38 @@ def test_op2(spark, odd, none):
         rows.append((d, "\n".join(lines), s))
     rows += [(200, None, "hot"), (201, "Subscribe now", None), (202, "", "hot"), (3, rows[3][1], "hot")]
     df = docs_of(spark, rows)
-    out = site_lines.drop_boilerplate(df, dropped="gone")
+    out = site_lines.drop_boilerplate(df, dropped="gone", ratio=0.1, min_line_pages=3)
     assert out.columns == [*df.columns, "gone"] and out.schema["n_chars"] == df.schema["n_chars"]
     key = lambda x: (x[0], x[1] or "")
-    assert sorted([(r["doc_id"], r["text"]) for r in out.collect()], key=key) == sorted(brute_lines(rows), key=key)
+    assert sorted([(r["doc_id"], r["text"]) for r in out.collect()], key=key) == sorted(brute_lines(rows, 0.1, 3), key=key)
+    default = site_lines.drop_boilerplate(df)
+    assert sorted([(r["doc_id"], r["text"]) for r in default.collect()], key=key) == sorted(brute_lines(rows), key=key)
+    with pytest.raises(ValueError, match="already"):
+        site_lines.drop_boilerplate(df, dropped="N")
     assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in out.collect())
     assert out.where("gone > 0").count() > 5
     assert sorted(map(str, site_lines.drop_boilerplate(odd).collect())) == sorted(map(str, odd.collect()))
     assert site_lines.drop_boilerplate(none).count() == 0
 
 
+def test_op2_small_hosts(spark):
+    """The rule is the same on a host of 5, 19 or 500 pages; a line on fewer than 5 pages stays."""
+    rows = [(1000 * n + i, f"own {n} {i}\nAll rights reserved here\nshared by four {min(i, 4)}" if i < 5 else f"own {n} {i}\nAll rights reserved here", f"host{n}") for n in (4, 5, 19, 500) for i in range(n)]
+    got = {r["doc_id"]: r["text"] for r in site_lines.drop_boilerplate(docs_of(spark, rows)).collect()}
+    assert got == {d: t for d, t in brute_lines(rows)}
+    assert all(("All rights" in t) == (d // 1000 == 4) for d, t in got.items()) and all("own" in t for t in got.values())
+
+
+def test_groups_are_attached_alike_by_broadcast_and_by_salt(spark):
+    from lakefind.llm import common
+
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"g{i % 50}" if i % 2 else None) for i in range(3000)], "i int, g string")
+    table, path = common.written(spark.createDataFrame([("hot", "x"), *[(f"g{k}", f"v{k}") for k in range(45)]], "k string, v string"))
+    totals = rows.groupBy(F.col("g").alias("k")).agg(F.count(F.lit(1)).alias("n")).where("k is not null")
+    one, two = (sorted(map(str, common.attach_by_group(rows, "g", table, path, "k", totals, "n", limit=x).collect())) for x in (1 << 20, 0))
+    assert one == two and len(one) == 3000 and sum("v='x'" in x for x in one) == 2000
+
+
 # -- 3 -----------------------------------------------------------------------
 
 
@@ -616,20 +638,57 @@ def test_op10(spark, odd, none):
             lines.append(" ".join(rng.permutation(keep)) if rng.random() < 0.7 else prose(rng, 5))
         rows.append((d, "\n".join(lines)))
     rows += [(3, rows[3][1]), (None, license_join.TEMPLATES["mit"])]
-    want = []
-    for d, t in rows:
-        for i, line in enumerate(t.split("\n")):
-            have = set(words(line))
-            for name, template in license_join.TEMPLATES.items():
-                w = set(words(template))
-                if len(have & w) >= max(1, np.ceil(0.8 * len(w) - 1e-9)):
-                    want.append((d, i, name, len(have & w), len(have & w) / len(w)))
+    want = brute_licenses(rows)
     got = [tuple(r) for r in license_join.scan(docs_of(spark, [(d, t, "s") for d, t in rows])).collect()]
     assert len(want) > 40 and sorted(map(str, got)) == sorted(map(str, want))
     assert license_join.scan(odd).count() == 0 == license_join.scan(none).count()
     assert license_join.scan(odd, {"empty": "..."}).count() == 0
 
 
+def brute_licenses(rows, slack=2.0):
+    """All lines, and all shortest runs of lines, that meet a template."""
+    out = []
+    for d, t in rows:
+        lines = [words(x) for x in (t or "").split("\n")]
+        for name, template in license_join.TEMPLATES.items():
+            w = words(template)
+            need = max(1, np.ceil(0.8 * len(set(w)) - 1e-9))
+            met = {}
+            for i in range(len(lines)):
+                have, n = set(), 0
+                for j in range(i, len(lines)):
+                    n += len(lines[j])
+                    have |= set(lines[j]) & set(w)
+                    if not lines[j] or j > i and n > slack * len(w):
+                        break
+                    if len(have) >= need:
+                        met[i, j] = len(have)
+            for (i, j), k in met.items():
+                if i == j or not any((x, y) != (i, j) and x >= i and y <= j for x, y in met):
+                    out.append((d, i, j, name, k, k / len(set(w))))
+    return out
+
+
+def test_op10_wrapped_notices(spark):
+    """Notices cut at any width, with text around, comment marks, missing and repeated words."""
+    rng = np.random.default_rng(101)
+    rows = []
+    for d in range(80):
+        name = list(license_join.TEMPLATES)[d % len(license_join.TEMPLATES)]
+        w = license_join.TEMPLATES[name].split()
+        w = [x for x in w if rng.random() > 0.05]
+        width = int(rng.integers(2, 15))
+        lines = [" * " + " ".join(w[i : i + width]) for i in range(0, len(w), width)]
+        if d % 7 == 0:
+            lines.insert(int(rng.integers(0, len(lines))), " *")
+        if d % 5 == 0:
+            lines += lines[: len(lines) // 2]
+        rows.append((d, "\n".join([prose(rng, 8), *lines, prose(rng, 12), "", "all the software"])))
+    want = brute_licenses(rows)
+    got = [tuple(r) for r in license_join.scan(docs_of(spark, [(d, t, "s") for d, t in rows])).collect()]
+    assert len([x for x in want if x[1] < x[2]]) > 50 and sorted(map(str, got)) == sorted(map(str, want))
+
+
 # -- registered queries ------------------------------------------------------
 
 
