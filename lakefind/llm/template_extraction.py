@@ -64,7 +64,7 @@ from .common import as_strings, attach_by_group, col, column_of, expand_ranges,
 _PIECE = 4 << 20
 #: Bytes of HTML whose tokens are counted together when candidates are looked for.
 CHUNK_BYTES = 32 << 20
-_MARKUP = re.compile(r"<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[a-zA-Z/!?][^>]*>", re.S | re.I)
+_MARKUP = re.compile(r"(<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[a-zA-Z/!?][^>]*>)", re.S | re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _OWN = frozenset(("p", "li", "td", "tr", "option"))
 _M64 = (1 << 64) - 1
@@ -81,6 +81,30 @@ def _inner(path: int, name: str) -> int:
     return _NAMES[key]
 
 
+#: What a tag stands for, by its text: token, what it does (0 nothing, 1 opens, 2 closes) and the element's name.
+_TAGS: dict[str, tuple[str, int, str]] = {}
+
+
+def _tag(tag: str) -> tuple[str, int, str]:
+    mark = tag[1]
+    if mark == "!" or mark == "?":
+        out = ("<!>", 0, "")
+    elif mark == "/":
+        name = tag[2:-1].strip().lower()
+        out = (f"</{name}>", 2, name)
+    else:
+        inside = tag[1:-1].split(None, 1)
+        name = inside[0].lower().rstrip("/") if inside else ""
+        if name.startswith(("script>", "style>")):
+            name = name.split(">")[0]
+        out = (f"<{name}>", 0 if name in _VOID or name in ("script", "style") or tag[-2:-1] == "/" else 1, name)
+    if len(tag) < 200:
+        if len(_TAGS) > 1 << 16:
+            _TAGS.clear()
+        _TAGS[tag] = out
+    return out
+
+
 class Pages:
     """The tokens of a few pages, one page after the other."""
 
@@ -89,51 +113,39 @@ class Pages:
         paths: list[int] = []
         sizes: list[int] = []
         ends: list[int] = []
+        known, add_word, add_path, add_size = _TAGS.get, words.append, paths.append, sizes.append
         for html in htmls:
-            at, path = 0, 0
-            stack: list[tuple[str, int]] = []
-            for m in _MARKUP.finditer(html):
-                if m.start() > at:
-                    text = html[at : m.start()].split()
+            path = 0
+            names: list[str] = []
+            outer: list[int] = []
+            markup = False
+            for piece in _MARKUP.split(html):
+                if not markup:
+                    markup = True
+                    text = piece.split()
                     if text:
                         words += text
-                        paths.append(path)
-                        sizes.append(len(text))
-                at = m.end()
-                tag = m.group()
-                mark = tag[1]
-                if mark == "!" or mark == "?":
-                    name = "<!>"
-                    words.append(name)
-                    paths.append(path)
-                    sizes.append(1)
+                        add_path(path)
+                        add_size(len(text))
                     continue
-                if mark == "/":
-                    name = tag[2:-1].strip().lower()
-                    if any(x[0] == name for x in stack):
-                        while stack:
-                            last, path = stack.pop()
+                markup = False
+                word, what, name = known(piece) or _tag(piece)
+                add_word(word)
+                if what == 2:
+                    if name in names:
+                        while True:
+                            last, path = names.pop(), outer.pop()
                             if last == name:
                                 break
-                    words.append(f"</{name}>")
-                else:
-                    inside = tag[1:-1].split(None, 1)
-                    name = inside[0].lower().rstrip("/") if inside else ""
-                    if name.startswith("script>") or name.startswith("style>") or tag[-2:-1] == "/" and name in ("script", "style"):
-                        name = name.split(">")[0]
-                    if name in _OWN and stack and stack[-1][0] == name:
-                        path = stack.pop()[1]
-                    words.append(f"<{name}>")
-                paths.append(path)
-                sizes.append(1)
-                if mark != "/" and name not in _VOID and name not in ("script", "style") and tag[-2:-1] != "/":
-                    stack.append((name, path))
+                elif name in _OWN and names and names[-1] == name:
+                    names.pop()
+                    path = outer.pop()
+                add_path(path)
+                add_size(1)
+                if what == 1:
+                    names.append(name)
+                    outer.append(path)
                     path = _inner(path, name)
-            text = html[at:].split()
-            if text:
-                words += text
-                paths.append(path)
-                sizes.append(len(text))
             ends.append(len(words))
         self.words = words
         self.bounds = np.append(0, np.array(ends, np.int64))
