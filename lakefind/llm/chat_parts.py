@@ -17,8 +17,9 @@ Content is plain text, or a JSON array of parts, or a JSON object with a
 
 A reference may be a string or an object with a url, id, file_id or data member.
 
-Turns of a conversation are brought together by one shuffle on conv_id and
-formatted in turn order by one task; nothing else is shuffled or collected.
+Turns are brought together by one shuffle on conv_id and part, a part being so
+many turn numbers, and formatted in turn order: a task never holds more than a
+part, however long a conversation is.  Nothing else is shuffled or collected.
 
 Defined results
 ---------------
@@ -30,8 +31,14 @@ Defined results
   is kept as text of its JSON, so that nothing is lost.
 * A null role is "unknown"; a null text is a message without parts; both stay.
 * Turns are ordered by turn (null first), then role, then text; repeated rows
-  are repeated turns.  Rows with a null conv_id are one conversation.
-* Strings of special tokens in a text are ordinary text.
+  are repeated turns.  A row with a null conv_id is a conversation of its own.
+* A conversation is cut into parts of ``part_turns`` turn numbers, numbered from
+  the turn divided by it (null turns are in part 0); each part is a row, and its
+  attachments are numbered from 0.
+* A text cannot forge a mark: "<|" is written as "<||" in it (and "<||" as
+  "<|||"), so "<|" before a letter is always one of ours; :func:`unescape` takes
+  it back.  In roles, other characters than letters, digits, "_", "-" and "." are
+  written as "_".  An attachment has the offset of its placeholder in characters.
 * An empty table gives no rows; other columns are not used.
 """
 
@@ -39,6 +46,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import ceil
@@ -55,6 +63,10 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How texts are cut before merging, as the vocabulary's own pattern has it.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+_ROLE = re.compile(r"[^\w.-]")
+#: Turn numbers of a part.
+PART_TURNS = 1000
+
 _ENCODINGS: dict[str, object] = {}
 
 
@@ -162,16 +174,40 @@ def parse_content(text: str | None) -> list:
     return [TextPart(text)]
 
 
+def escape(text: str) -> str:
+    """The text with its own "<|" made plain: no mark of the format has a bar there."""
+    return text.replace("<|", "<||")
+
+
+def unescape(text: str) -> str:
+    return text.replace("<||", "<|")
+
+
 @dataclass
 class Flattener:
     """The visitor: flattens the parts of a conversation into text with placeholders."""
 
     expansion: Expansion = field(default_factory=Expansion)
     out: list[str] = field(default_factory=list)
+    plain: list[str] = field(default_factory=list)
+    pending: str = ""
+    length: int = 0
     attachments: list[dict] = field(default_factory=list)
 
     def text(self, part: TextPart) -> None:
-        self.out.append(part.text)
+        self.pending += part.text
+
+    def settle(self) -> None:
+        """Write the text so far: escaped as a whole, so that no two parts make a mark together."""
+        if self.pending:
+            self.write(escape(self.pending), True)
+            self.pending = ""
+
+    def write(self, text: str, plain: bool) -> None:
+        self.out.append(text)
+        self.length += len(text)
+        if plain:
+            self.plain.append(text)
 
     def image(self, part: ImagePart) -> None:
         e = self.expansion
@@ -185,25 +221,22 @@ class Flattener:
         self._attach("document", part.ref, self.expansion.page_tokens * max(1, ceil(part.pages)))
 
     def _attach(self, kind: str, ref: str, tokens: int) -> None:
+        self.settle()
         n = len(self.attachments)
-        self.attachments.append({"number": n, "kind": kind, "ref": ref, "tokens": tokens})
-        self.out.append(f"<|{kind}_{n}|>")
+        self.attachments.append({"number": n, "kind": kind, "ref": ref, "tokens": tokens, "offset": self.length})
+        self.write(f"<|{kind}_{n}|>", False)
 
 
 def flatten(turns: list[tuple[str | None, str | None]], expansion: Expansion) -> tuple[str, str, list[dict]]:
     """A conversation's text with placeholders, its text without them, and its attachments."""
     v = Flattener(expansion)
-    plain: list[str] = []
     for role, text in turns:
-        v.out.append(f"<|{role or 'unknown'}|>\n")
-        plain.append(v.out[-1])
+        v.write(f"<|{_ROLE.sub('_', role) if role else 'unknown'}|>\n", True)
         for part in parse_content(text):
             part.accept(v)
-            if isinstance(part, TextPart):
-                plain.append(part.text)
-        v.out.append("\n<|end|>\n")
-        plain.append(v.out[-1])
-    return "".join(v.out), "".join(plain), v.attachments
+        v.settle()
+        v.write("\n<|end|>\n", True)
+    return "".join(v.out), "".join(v.plain), v.attachments
 
 
 def format_chats(
@@ -215,39 +248,35 @@ def format_chats(
     text="text",
     tokenizer_path: str = TOKENIZER,
     expansion: Expansion | None = None,
+    part_turns: int = PART_TURNS,
 ) -> DataFrame:
-    """One row a conversation: conv_id, n_turns, formatted, attachments, text_tokens, attachment_tokens, n_tokens."""
+    """One row a part of a conversation: conv_id, part, n_turns, formatted, attachments, text_tokens, attachment_tokens, n_tokens."""
     use = expansion or Expansion()
     m = messages.select(*[col(messages, c).alias(a) for c, a in ((conv_id, "c"), (turn, "n"), (role, "r"), (text, "t"))])
-    grouped = m.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("n", "r", "t")), _turn_order).alias("turns"))
-    attachment = T.StructType([T.StructField("number", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("ref", T.StringType()), T.StructField("tokens", T.LongType())])
+    turn_row = F.struct("n", "r", "t")
+    named = m.where(F.col("c").isNotNull()).withColumn("p", F.coalesce(F.floor(F.col("n") / part_turns), F.lit(0)).cast("long"))
+    grouped = named.groupBy("c", "p").agg(F.sort_array(F.collect_list(turn_row)).alias("turns"))
+    grouped = grouped.unionByName(m.where(F.col("c").isNull()).select("c", F.lit(0).cast("long").alias("p"), F.array(turn_row).alias("turns")))
+    attachment = T.StructType([T.StructField("number", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("ref", T.StringType()), T.StructField("tokens", T.LongType()), T.StructField("offset", T.IntegerType())])
     schema = T.StructType(
-        [T.StructField("conv_id", messages.schema[conv_id].dataType), T.StructField("n_turns", T.IntegerType()), T.StructField("formatted", T.StringType()), T.StructField("attachments", T.ArrayType(attachment))]
+        [T.StructField("conv_id", messages.schema[conv_id].dataType), T.StructField("part", T.LongType()), T.StructField("n_turns", T.IntegerType()), T.StructField("formatted", T.StringType()), T.StructField("attachments", T.ArrayType(attachment))]
         + [T.StructField(c, T.LongType()) for c in ("text_tokens", "attachment_tokens", "n_tokens")]
     )
-    attached = pa.list_(pa.struct([("number", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))
+    attached = pa.list_(pa.struct([("number", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64()), ("offset", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = tokenizer(tokenizer_path)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                rows = [flatten([(x["r"], x["t"]) for x in turns], use) for turns in part.column(1).to_pylist()]
+                rows = [flatten([(x["r"], x["t"]) for x in turns], use) for turns in part.column(2).to_pylist()]
                 text_tokens = [len(encoding.encode_ordinary(plain)) for _, plain, _ in rows]
                 extra = [sum(a["tokens"] for a in att) for *_, att in rows]
-                sizes = pa.array([len(x) for x in part.column(1).to_pylist()], pa.int32())
+                sizes = part.column(2).value_lengths()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), sizes, pa.array([r[0] for r in rows], pa.string()), pa.array([r[2] for r in rows], attached), pa.array(text_tokens, pa.int64()), pa.array(extra, pa.int64()), pa.array([a + b for a, b in zip(text_tokens, extra)], pa.int64())],
+                    [part.column(0), part.column(1), sizes, pa.array([r[0] for r in rows], pa.string()), pa.array([r[2] for r in rows], attached), pa.array(text_tokens, pa.int64()), pa.array(extra, pa.int64()), pa.array([a + b for a, b in zip(text_tokens, extra)], pa.int64())],
                     names=schema.names,
                 )
 
     return grouped.mapInArrow(run, schema)
 
-
-def _turn_order(a, b):
-    """Turn, then role, then text, nulls first."""
-    out = F.lit(0)
-    for f in ("t", "r", "n"):
-        x, y = a[f], b[f]
-        out = F.when(x.isNull() & y.isNull(), out).when(x.isNull(), F.lit(-1)).when(y.isNull(), F.lit(1)).when(x < y, F.lit(-1)).when(x > y, F.lit(1)).otherwise(out)
-    return out

@@ -9,7 +9,8 @@ neighbourhood of a group name then cannot be learned as a property of the name,
 which lowers false positives on neutral mentions.
 
 Only the fit is bounded (``max_rows`` labelled rows of each class, chosen by a
-hash of their ids); scoring covers every whole text and is one pass without a
+hash of their ids, of texts of at most ``max_text_bytes``, so that the driver gets
+no more than twice their product); scoring covers every whole text and is one pass without a
 shuffle.  The model that tasks receive holds the words kept by the L1 penalty,
 so it does not grow with the corpus.
 
@@ -17,8 +18,11 @@ Defined results
 ---------------
 * A null or empty text has no words; its score is the model's prior with no
   evidence and it is never rejected.
-* Labels that are null, or whose document is missing, or whose text is null are
-  not used.  Repeated labels of one document count once, with the larger value.
+* Labels that are null, or whose document is missing, or whose text is null or
+  longer than ``max_text_bytes`` are not used in the fit.  Repeated labels of one
+  document count once, with the larger value; of rows that repeat a labelled
+  doc_id the first text counts.
+* Each identity term is one token.
 * Without rows of both classes nothing can be fitted: every score is null and
   nothing is rejected.
 * Rows are scored one by one: repeated rows, null or repeated doc_ids and extra
@@ -56,6 +60,12 @@ _PIECE = 1 << 20
 #: Lengths in bytes of the word beginnings that are features besides the words.
 STEMS = (5, 6, 7, 8)
 
+#: Labelled rows of each class that the model is fitted on, and the longest text among them.
+MAX_ROWS, MAX_TEXT_BYTES = 2000, 32 << 10
+
+#: Weight of the squared score change under swaps.
+PENALTY = 5.0
+
 #: A text that scores this much is rejected.
 THRESHOLD = 0.3
 
@@ -168,7 +178,7 @@ def _features(texts: list[str], min_df: int, sets: list[dict[int, frozenset[int]
     return row[use].astype(np.int64), at[use], vocabulary, (np.array(swap, np.int64), places, np.array(sign), ns)
 
 
-def fit(texts: list[str], labels: list[int], *, penalty: float = 1.0, l1: float = 0.015, min_df: int = 3, steps: int = 200, identity_terms=IDENTITY_TERMS) -> Model | None:
+def fit(texts: list[str], labels: list[int], *, penalty: float = PENALTY, l1: float = 0.015, min_df: int = 3, steps: int = 200, identity_terms=IDENTITY_TERMS) -> Model | None:
     """Fit the model: weighted logistic loss + penalty * mean squared score change under swaps + L1.
 
     FISTA on the smooth part with soft thresholding.  The L1 weight is l1 over the
@@ -220,8 +230,8 @@ def fit(texts: list[str], labels: list[int], *, penalty: float = 1.0, l1: float
     return Model(vocabulary[kept], w[kept], float(b))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", label="toxic", max_rows: int = 2000) -> tuple[list[str], list[int]]:
-    """At most max_rows labelled texts of each class, the same ones every time.
+def labelled_sample(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", label="toxic", max_rows: int = MAX_ROWS, max_text_bytes: int = MAX_TEXT_BYTES) -> tuple[list[str], list[int]]:
+    """At most max_rows labelled texts of each class, of at most max_text_bytes, the same ones every time.
 
     The ids are chosen from the labels alone, so only a table of bounded size is
     sent to the scan of the documents.
@@ -234,16 +244,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text
         return [], []
     spark = docs.sparkSession
     id_type = labels.schema[doc_id].dataType.simpleString()
+    # at most 2 * max_rows ids
     table = F.broadcast(spark.createDataFrame([(r["i"], r["y"]) for r in chosen], f"i {id_type}, y int"))
-    d = docs.select(col(docs, doc_id).alias("d"), col(docs, text).alias("t")).where(F.col("t").isNotNull())
-    rows = d.join(table, F.col("d") == F.col("i")).select("i", "y", "t").collect()
-    rows = sorted({(r["i"], r["y"], r["t"]) for r in rows})
+    d = docs.select(col(docs, doc_id).alias("d"), col(docs, text).alias("t")).where(F.octet_length("t") <= max_text_bytes)
+    rows = d.join(table, F.col("d") == F.col("i")).groupBy("i", "y").agg(F.min("t").alias("t")).collect()
+    rows = sorted((r["i"], r["y"], r["t"]) for r in rows)
     return [t for *_, t in rows], [min(1, max(0, y)) for _, y, _ in rows]
 
 
-def train(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", label="toxic", max_rows: int = 2000, **options) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", label="toxic", max_rows: int = MAX_ROWS, max_text_bytes: int = MAX_TEXT_BYTES, **options) -> Model | None:
     """Fit the model on a bounded sample of the labelled documents."""
-    texts, y = labelled_sample(docs, labels, doc_id=doc_id, text=text, label=label, max_rows=max_rows)
+    texts, y = labelled_sample(docs, labels, doc_id=doc_id, text=text, label=label, max_rows=max_rows, max_text_bytes=max_text_bytes)
     return fit(texts, y, **options)
 
 

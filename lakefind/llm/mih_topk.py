@@ -8,18 +8,20 @@ seen.  A query ends when its kth verified distance is no larger than that, so
 its answer is exact, ties included (Norouzi, Punjani and Fleet, 2012).
 
 Scale: the codes are 8 bytes a row or so.  They are cut into shards that fit a
-task, queries into blocks; a cell of the grid (shard, block) is one task, and
-the k best of the shards are merged.  With s shards the work is that of s
-smaller searches, which is what exact search for all rows comes to; nothing is
-collected and nothing that grows is broadcast.
+task.  A task indexes its shard once and streams the queries through it; the k
+best of the shards are merged.  Only where there are fewer shards than tasks can
+run at once, queries are cut into blocks and a shard is indexed once a block.
+With s shards the work is that of s smaller searches, which is what exact search
+comes to; nothing is collected and nothing that grows is broadcast.
 
 Defined results
 ---------------
 * Bit i of a code is set if component i is above 0; a null component counts as 0.
-* Rows with a null id, a null embedding, or one of another length than the
-  longest have no code: they neither ask nor are found.
-* Every row with a code is a query.  A row is not its own neighbour: rows with
-  the query's id are left out.  Rows that repeat an id are one row, the one with
+* Rows with a null id, a null embedding, or one of another length than most have
+  (the longer of lengths that are equally frequent) have no code: they neither
+  ask nor are found.
+* Queries are the rows with a code whose id passes ``asks``; all, without it.  A
+  row is not its own neighbour: rows with the query's id are left out.  Rows that repeat an id are one row, the one with
   the smallest code.
 * Neighbours are ordered by distance, then id; with fewer than k others, all are
   returned.  An empty table gives no rows; other columns are not used.
@@ -27,28 +29,30 @@ Defined results
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 from math import log2
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, column_of, expand_ranges, written
+from .common import col, column_of, expand_ranges, ranked, written
 
-#: Codes of an index shard, and most queries of a block.
-SHARD_ROWS = 1 << 19
-BLOCK_ROWS = 1 << 16
+#: Codes of an index shard, and queries that a block has at least.
+SHARD_ROWS = 1 << 20
+BLOCK_ROWS = 1 << 10
 _CHUNK = 256
 
 
 def binary_codes(rows: DataFrame, *, vec_id="vec_id", embedding="embedding") -> DataFrame:
     """Columns i (id) and c (code bytes) of the rows that have a code."""
     narrow = rows.select(col(rows, vec_id).alias("i"), col(rows, embedding).alias("e")).where(F.col("i").isNotNull() & F.col("e").isNotNull())
-    size = narrow.agg(F.max(F.size("e"))).first()[0] or 0
+    most = narrow.groupBy(F.size("e").alias("n")).agg(F.count(F.lit(1)).alias("rows")).where(F.col("n") > 0).orderBy(F.desc("rows"), F.desc("n")).first()
+    size = most["n"] if most else 0
     schema = T.StructType([T.StructField("i", rows.schema[vec_id].dataType), T.StructField("c", T.BinaryType())])
 
     def run(batches):
@@ -92,14 +96,14 @@ class MultiIndex:
             return np.zeros(1, np.int64)
         return np.array([sum(1 << i for i in c) for c in combinations(range(width), radius)], np.int64)
 
-    def search(self, queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int):
-        """Exact k nearest codes of every query: (query number, code number, distance)."""
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int):
+        """Exact k nearest codes of every query but its own: (query number, code number, distance); own is -1 for none."""
         out = []
         for at in range(0, len(queries), _CHUNK):
-            out.append(self._chunk(queries[at : at + _CHUNK], query_ids[at : at + _CHUNK], ids, k, at))
+            out.append(self._chunk(queries[at : at + _CHUNK], own[at : at + _CHUNK], k, at))
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
-    def _chunk(self, queries, query_ids, ids, k, base):
+    def _chunk(self, queries, own, k, base):
         n = len(queries)
         n_codes = len(self.codes)
         pool = np.zeros(0, np.int64)  # query * codes + code
@@ -120,7 +124,7 @@ class MultiIndex:
                     d = np.zeros(len(q), np.int64)
                     for w in range(queries.shape[1]):
                         d += np.bitwise_count(queries[q, w] ^ self.codes[c, w])
-                    near = (d <= kth[q]) & (ids[c] != query_ids[q])
+                    near = (d <= kth[q]) & (c != own[q])
                     if near.any():
                         pool = np.concatenate([pool, q[near] * n_codes + c[near]])
                         dist = np.concatenate([dist, d[near]])
@@ -140,7 +144,7 @@ class MultiIndex:
             if radius > widest:
                 break
         q, c = pool // n_codes, pool % n_codes
-        o = np.lexsort((ids[c], dist, q))
+        o = np.lexsort((c, dist, q))
         q, c, dist = q[o], c[o], dist[o]
         rank = np.arange(len(q)) - np.searchsorted(q, q, "left")
         top = rank < k
@@ -164,55 +168,58 @@ def nearest(
     vec_id="vec_id",
     embedding="embedding",
     k: int = 10,
+    asks: Callable[[Column], Column] | None = None,
     shard_rows: int = SHARD_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """The k nearest codes of every row: query_id, neighbour_id, distance, rank from 1."""
+    """The k nearest codes of every query: query_id, neighbour_id, distance, rank from 1."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     spark = rows.sparkSession
     id_type = rows.schema[vec_id].dataType
     codes, _ = written(binary_codes(rows, vec_id=vec_id, embedding=embedding).groupBy("i").agg(F.min("c").alias("c")))
+    asked = codes if asks is None else codes.where(asks(F.col("i")))
     shape = codes.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("c")).alias("b")).first()
     n, bits = shape["n"], 8 * (shape["b"] or 0)
     shards = max(1, -(-n // shard_rows))
-    blocks = max(1, -(-n // block_rows), min(4 * spark.sparkContext.defaultParallelism, -(-n // 1024)))
-    cells = shards * blocks
+    blocks = max(1, min(-(-2 * spark.sparkContext.defaultParallelism // shards), -(-asked.count() // block_rows)))
     schema = T.StructType([T.StructField("query_id", id_type), T.StructField("neighbour_id", id_type), T.StructField("distance", T.IntegerType()), T.StructField("rank", T.IntegerType())])
 
-    def cell(index: pa.Table, queries: pa.Table) -> pa.Table:
-        if not index.num_rows or not queries.num_rows:
-            return schema_table()
-        order = np.argsort(_ranked(index["i"]), kind="stable")
-        index = index.take(pa.array(order))
-        every = pa.concat_arrays([index["i"].combine_chunks(), queries["qi"].combine_chunks()])
-        number = _ranked(every)
-        mi = MultiIndex(_words(index["c"]), bits)
-        q, c, d = mi.search(_words(queries["qc"]), number[index.num_rows :], number[: index.num_rows], k)
-        rank = np.arange(len(q)) - np.searchsorted(q, q, "left") + 1
-        return pa.table([queries["qi"].take(pa.array(q)), index["i"].take(pa.array(c)), pa.array(d, pa.int32()), pa.array(rank, pa.int32())], names=schema.names)
-
-    def schema_table() -> pa.Table:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        return to_arrow_schema(schema).empty_table()
+    def run(batches):
+        arrow = to_arrow_schema(schema)
+        held: list[pa.RecordBatch] = []
+        cell, index, ids = None, None, None
+        for b in batches:
+            kind, at = column_of(b, "asks").to_numpy(zero_copy_only=False), column_of(b, "cell").to_numpy()
+            cuts = np.flatnonzero(np.append(True, (kind[1:] != kind[:-1]) | (at[1:] != at[:-1]))) if b.num_rows else []
+            for lo, hi in zip(cuts, np.append(cuts[1:], b.num_rows)):
+                part = b.slice(lo, hi - lo)
+                if at[lo] != cell:
+                    cell, index, held = at[lo], None, []
+                if not kind[lo]:
+                    held.append(part)
+                    continue
+                if index is None:
+                    if not held:
+                        continue
+                    whole = pa.Table.from_batches(held)
+                    whole = whole.take(pa.array(np.argsort(ranked(whole["i"]), kind="stable")))
+                    # codes are numbered in the order of their ids
+                    index, ids, held = MultiIndex(_words(whole["c"]), bits), whole["i"].combine_chunks(), []
+                asking = column_of(part, "i")
+                own = pc.fill_null(pc.index_in(asking, value_set=ids), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                q, c, d = index.search(_words(column_of(part, "c")), own, k)
+                rank = np.arange(len(q)) - np.searchsorted(q, q, "left") + 1
+                yield pa.RecordBatch.from_arrays([asking.take(pa.array(q)), ids.take(pa.array(c)), pa.array(d, pa.int32()), pa.array(rank, pa.int32())], schema=arrow)
 
     mark = F.xxhash64("i", "c")
-    where = codes.withColumn("s", F.pmod(mark, F.lit(shards))).withColumn("b", F.pmod(F.shiftright(mark, 20), F.lit(blocks)))
-    index = where.select("i", "c", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: F.col("s") * blocks + x.cast("bigint"))).alias("cell"))
-    asked = where.select(F.col("i").alias("qi"), F.col("c").alias("qc"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda x: x.cast("bigint") * blocks + F.col("b"))).alias("qcell"))
-    index, asked = index.repartition(cells, "cell"), asked.repartition(cells, "qcell")
-    found = index.groupBy("cell").cogroup(asked.groupBy("qcell")).applyInArrow(cell, schema)
+    shard, block = F.pmod(mark, F.lit(shards)), F.pmod(F.shiftright(mark, 20), F.lit(blocks))
+    spread = lambda n, cell: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), cell))
+    stored = codes.select(F.lit(False).alias("asks"), "i", "c", spread(blocks, lambda x: (shard * blocks + x).cast("int")).alias("cell"))
+    asking = asked.select(F.lit(True).alias("asks"), "i", "c", spread(shards, lambda x: (x * blocks + block).cast("int")).alias("cell"))
+    cells = stored.unionByName(asking).repartitionById(shards * blocks, "cell").sortWithinPartitions("cell", "asks")
+    found = cells.mapInArrow(run, schema)
     if shards > 1:
         best = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
         found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return found
-
-
-def _ranked(a) -> np.ndarray:
-    """Numbers in the order of an Arrow array's values; equal values have equal numbers."""
-    if isinstance(a, pa.ChunkedArray):
-        a = a.combine_chunks()
-    d = a.dictionary_encode()
-    order = pc.sort_indices(d.dictionary).to_numpy()
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return rank[d.indices.to_numpy()]
