@@ -6,8 +6,9 @@ fit); if none does, the fullest open window is emitted and a new one opened.
 What the partitions leave open is merged at the end by the same rule.
 
 Only (doc_id, length) is shuffled, never a text.  The partition of a document
-depends on its doc_id alone and each partition is packed in doc_id order, so a
-task that is run again packs the same windows.  A task holds ``open_windows``
+depends on its doc_id and length alone and each partition is packed in doc_id
+order, so a task that is run again packs the same windows.  Rows that repeat both
+are counted first, and spread over partitions by the thousand.  A task holds ``open_windows``
 windows, whatever the corpus.  A partition leaves at most that many over; they are
 merged ``merge_fan_in`` partitions at a time, what these leave over again, until
 one group remains, so no task gets more as the corpus grows.
@@ -17,7 +18,7 @@ Defined results
 * A document longer than a window is cut into full windows and a rest; a piece
   is (doc_id, start, length) in tokens.
 * Null and empty texts have no tokens and are in no window.
-* Null doc_ids are packed like others, as one partition's last documents;
+* Null doc_ids are packed like others, after a partition's other documents;
   repeated rows are packed each.  Ties go to the window opened first.
 * An empty table gives no windows; other columns are not used.
 """
@@ -33,9 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens as tk
-from .common import col, column_of, slices, written
+from .common import bounded_batches, col, column_of, slices, written
 
 _PIECE = 4 << 20
+#: Rows with one doc_id and length that stay together.
+COPIES = 1000
 
 
 class OpenWindows:
@@ -93,7 +96,7 @@ def token_lengths(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame
             n = tk.token_counts(column_of(b, "t"))
             yield pa.RecordBatch.from_arrays([column_of(b, "d"), pa.array(n)], names=["d", "n"]).filter(pa.array(n > 0))
 
-    return docs.select(col(docs, doc_id).alias("d"), col(docs, text).alias("t")).mapInArrow(run, schema)
+    return bounded_batches(docs).select(col(docs, doc_id).alias("d"), col(docs, text).alias("t")).mapInArrow(run, schema)
 
 
 def pack_documents(
@@ -144,7 +147,7 @@ def pack_documents(
                 space, k = state.setdefault(p, [OpenWindows(capacity, open_windows), 0])
                 part = b.slice(lo, hi - lo)
                 rows = []
-                for n, w in pack(zip(column_of(part, "d").to_pylist(), column_of(part, "n").to_pylist()), space):
+                for n, w in pack(((d, n) for d, n, m in zip(*(column_of(part, c).to_pylist() for c in "dnm")) for _ in range(m)), space):
                     rows.append((p, k, False, n, w))
                     k += 1
                 state[p][1] = k
@@ -153,7 +156,10 @@ def pack_documents(
         for p in list(state):
             yield from finish(p)
 
-    placed = lengths.withColumn("p", F.pmod(F.xxhash64("d"), F.lit(parts)).cast("int")).repartition(parts, "p").sortWithinPartitions("p", F.col("d").asc_nulls_last(), "n")
+    same = lengths.groupBy("d", "n").agg(F.count(F.lit(1)).alias("c"))
+    same = same.select("d", "n", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("c") - 1) / COPIES))).alias("s"))
+    placed = same.select("d", "n", F.least(F.lit(COPIES).cast("long"), F.col("c") - F.col("s") * COPIES).alias("m"), F.pmod(F.xxhash64("d", "n", "s"), F.lit(parts)).cast("int").alias("p"))
+    placed = placed.repartition(parts, "p").sortWithinPartitions("p", F.col("d").asc_nulls_last(), "n", "m")
     packed, _ = written(placed.mapInArrow(run, schema))
 
     def together(batches):

@@ -56,7 +56,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col
+from .common import bounded_batches, col
 
 #: The default vocabulary; the path has to exist where tasks run.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -252,7 +252,7 @@ def format_chats(
 ) -> DataFrame:
     """One row a part of a conversation: conv_id, part, n_turns, formatted, attachments, text_tokens, attachment_tokens, n_tokens."""
     use = expansion or Expansion()
-    m = messages.select(*[col(messages, c).alias(a) for c, a in ((conv_id, "c"), (turn, "n"), (role, "r"), (text, "t"))])
+    m = bounded_batches(messages).select(*[col(messages, c).alias(a) for c, a in ((conv_id, "c"), (turn, "n"), (role, "r"), (text, "t"))])
     turn_row = F.struct("n", "r", "t")
     named = m.where(F.col("c").isNotNull()).withColumn("p", F.coalesce(F.floor(F.col("n") / part_turns), F.lit(0)).cast("long"))
     grouped = named.groupBy("c", "p").agg(F.sort_array(F.collect_list(turn_row)).alias("turns"))

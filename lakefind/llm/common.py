@@ -121,6 +121,19 @@ def attach_by_group(rows: DataFrame, group: str, table: DataFrame, path: str, ke
     return joined.select(*[col(joined, c) for c in (*rows.columns, *table.columns)])
 
 
+#: Bytes of a batch of rows that goes to Python; Spark's own bound is eight times as much.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The same rows; from now on the session's batches for Python have at most BATCH_BYTES, so long texts do not add up in memory."""
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = (spark.conf.get(name, None) or "").rstrip("bB")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a slice's texts have at most max_bytes, or a slice has one row."""
     for b in batches:
@@ -146,7 +159,7 @@ def keep_rows(docs: DataFrame, text: str, decide, max_bytes: int) -> DataFrame:
         for b in slices(batches, names[at], max_bytes):
             yield b.filter(pa.array(decide(b.column(at)), pa.bool_()))
 
-    return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns)
+    return bounded_batches(docs).toDF(*names).mapInArrow(run, schema).toDF(*docs.columns)
 
 
 def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens as tk
-from .common import col, column_of, keep_rows, slices
+from .common import bounded_batches, col, column_of, keep_rows, slices
 
 #: Sets of identity terms; a term is swapped for every other term of its set.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -271,7 +271,7 @@ def score(docs: DataFrame, model: Model | None, *, doc_id="doc_id", text="text")
             z = pa.array(_sigmoid(model.logits(column_of(b, "t")))) if model else pa.nulls(b.num_rows, pa.float64())
             yield pa.RecordBatch.from_arrays([column_of(b, "d"), z], names=["doc_id", "score"])
 
-    return docs.select(col(docs, doc_id).alias("d"), col(docs, text).alias("t")).mapInArrow(run, schema)
+    return bounded_batches(docs).select(col(docs, doc_id).alias("d"), col(docs, text).alias("t")).mapInArrow(run, schema)
 
 
 def reject_toxic(docs: DataFrame, model: Model | None, *, text="text", threshold: float = THRESHOLD) -> DataFrame:

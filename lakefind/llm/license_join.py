@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens as tk
-from .common import as_strings, col, column_of, expand_ranges, slices
+from .common import as_strings, bounded_batches, col, column_of, expand_ranges, slices
 
 _PIECE = 4 << 20
 
@@ -195,7 +195,7 @@ def runs(line: np.ndarray, rank: np.ndarray, rows: np.ndarray, counts: np.ndarra
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, doc_id="doc_id", text="text", threshold: float = 0.8, slack: float = 2.0) -> DataFrame:
     """Blocks that meet a template: doc_id, line, last_line, template, common_tokens, containment."""
     index = Index(TEMPLATES if templates is None else templates, threshold)
-    narrow = docs.select(col(docs, doc_id).alias("d"), col(docs, text).alias("t")).where(F.col("t").isNotNull())
+    narrow = bounded_batches(docs).select(col(docs, doc_id).alias("d"), col(docs, text).alias("t")).where(F.col("t").isNotNull())
 
     def count(batches):
         total = np.zeros(len(index.words), np.int64)

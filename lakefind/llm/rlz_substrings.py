@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens as tk
-from .common import col, column_of, expand_ranges, fresh, ranked, slices, written
+from .common import bounded_batches, col, column_of, expand_ranges, fresh, ranked, slices, written
 from .suffix_decontamination import suffix_array
 
 _PIECE = 2 << 20
@@ -249,7 +249,7 @@ def duplicate_spans(docs: DataFrame, *, doc_id="doc_id", text="text", min_tokens
     id_type = docs.schema[doc_id].dataType
     arrow_id = to_arrow_type(id_type)
     before = min_tokens - min(ANCHOR, min_tokens)
-    narrow = docs.select(col(docs, doc_id).alias("d"), col(docs, text).alias("t")).where(F.col("d").isNotNull() & F.col("t").isNotNull())
+    narrow = bounded_batches(docs).select(col(docs, doc_id).alias("d"), col(docs, text).alias("t")).where(F.col("d").isNotNull() & F.col("t").isNotNull())
     places, _ = written(_anchor_rows(narrow, id_type, min_tokens))
 
     # the different segments of anchors that two documents have, each with its first place

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens as tk
-from .common import col, column_of, drop_written, fresh, slices, small_enough, written
+from .common import attach_by_group, bounded_batches, col, column_of, drop_written, fresh, slices, small_enough, written
 
 _PIECE = 2 << 20
 
@@ -92,7 +92,7 @@ def fingerprint_table(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataF
             f, has = fingerprints(column_of(b, "t"))
             yield pa.RecordBatch.from_arrays([column_of(b, "d"), pa.array(f.view(np.int64))], names=["d", "f"]).filter(pa.array(has))
 
-    narrow = docs.select(col(docs, doc_id).alias("d"), col(docs, text).alias("t"))
+    narrow = bounded_batches(docs).select(col(docs, doc_id).alias("d"), col(docs, text).alias("t"))
     return narrow.where(F.col("d").isNotNull() & F.col("t").isNotNull()).mapInArrow(run, schema)
 
 
@@ -163,9 +163,11 @@ def duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", distance: int =
     # the group of every fingerprint, then the smallest document of every group
     group = firsts.join(roots.withColumnRenamed("u", "f"), "f", "left").select("f", "first", "n", F.coalesce("root", "f").alias("g"))
     best = group.groupBy("g").agg(F.min("first").alias("duplicate_of"), F.sum("n").alias("size")).where(F.col("size") > 1)
-    keep = group.join(best, "g").select("f", "duplicate_of")
+    keep = group.join(best, "g").select(F.col("f").alias("kf"), "duplicate_of")
     table, path = written(keep)
-    return prints.join(small_enough(table, path), "f").where(F.col("d") != F.col("duplicate_of")).select(F.col("d").alias("doc_id"), "duplicate_of").distinct()
+    # a fingerprint that very many documents have is a hot key
+    copies = firsts.select(F.col("f").alias("kf"), "n")
+    return attach_by_group(prints, "f", table, path, "kf", copies, "n").where(F.col("d") != F.col("duplicate_of")).select(F.col("d").alias("doc_id"), "duplicate_of").distinct()
 
 
 def drop_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", distance: int = 8, blocks: int = 11) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens as tk
-from .common import col, column_of, expand_ranges, keep_rows, slices
+from .common import bounded_batches, col, column_of, expand_ranges, keep_rows, slices
 
 #: Bytes of text in a shard (about one million tokens), and of benchmark text in one pass.
 SHARD_BYTES = 6 << 20
@@ -213,7 +213,7 @@ def find_matches(
     id_type = docs.schema[doc_id].dataType
     item_type = benchmark.schema[item_id].dataType
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("item_id", item_type)] + [T.StructField(c, T.IntegerType()) for c in ("item_pos", "doc_pos", "n_tokens")])
-    narrow = docs.select(col(docs, doc_id).alias("d"), col(docs, text).alias("t"))
+    narrow = bounded_batches(docs).select(col(docs, doc_id).alias("d"), col(docs, text).alias("t"))
     out = None
     for items in _benchmark_slices(benchmark, item_id, item_text, min_tokens, min_item_tokens, benchmark_bytes):
 

@@ -59,7 +59,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens as tk
-from .common import as_strings, attach_by_group, col, column_of, expand_ranges, slices, small_enough, written
+from .common import as_strings, attach_by_group, bounded_batches, col, column_of, expand_ranges, slices, small_enough, written
 
 _PIECE = 4 << 20
 #: Bytes of HTML whose tokens are counted together when candidates are looked for.
@@ -487,7 +487,7 @@ def extract(pages: DataFrame, *, page_id="page_id", url="url", html="html", supp
 
     id_type = pages.schema[page_id].dataType
     arrow_id = to_arrow_type(id_type)
-    source = pages.select(col(pages, page_id).alias("i"), F.coalesce(_host(col(pages, url)), F.lit("")).alias("h"), F.coalesce(col(pages, html), F.lit("")).alias("t"))
+    source = bounded_batches(pages).select(col(pages, page_id).alias("i"), F.coalesce(_host(col(pages, url)), F.lit("")).alias("h"), F.coalesce(col(pages, html), F.lit("")).alias("t"))
     slot = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("field", T.IntegerType()), T.StructField("text", T.StringType())])
     schema = T.StructType([T.StructField("page_id", id_type), T.StructField("host", T.StringType()), T.StructField("template", T.IntegerType()), T.StructField("template_tokens", T.IntegerType()), T.StructField("slots", T.ArrayType(slot))])
     nothing = F.array().cast(T.ArrayType(_MEMBERS))

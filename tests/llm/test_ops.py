@@ -726,6 +726,8 @@ def test_op9(spark, odd, none):
     total = sum(len(words(t)) for _, t, _ in rows)
     assert len(deep) <= 1.3 * total / 100 + 4
     assert len(got) <= 1.25 * total / 100 + 4
+    same = [(None, "a b c", "s")] * 2500 + [(7, "x y", "s")] * 1500
+    check_windows(bounded_packing.pack_documents(docs_of(spark, same), capacity=10, open_windows=3, docs_per_partition=1000).collect(), same, 10)
     check_windows(bounded_packing.pack_documents(odd).collect(), [(r["doc_id"], r["text"], None) for r in odd.collect()], 2048)
     assert bounded_packing.pack_documents(none).count() == 0
 
