@@ -127,26 +127,40 @@ def _common(ids: np.ndarray, a: np.ndarray, b: np.ndarray, width: int = 32) -> n
     return out
 
 
-def _longest(ids: np.ndarray, sa: np.ndarray, rank: np.ndarray, doc: np.ndarray, group: np.ndarray, p: np.ndarray) -> np.ndarray:
+def _minima(values: np.ndarray) -> list[np.ndarray]:
+    """Of each power of two, the least of so many values from every place on."""
+    out = [values]
+    while 2 << (len(out) - 1) <= len(values):
+        last, half = out[-1], 1 << (len(out) - 1)
+        out.append(np.minimum(last[:-half], last[half:]))
+    return out
+
+
+def _smaller(minima: list[np.ndarray], at: np.ndarray, than: np.ndarray, step: int) -> np.ndarray:
+    """The nearest place before (step -1) or after (1) each place whose value is less; one outside the array if there is none."""
+    n = len(minima[0])
+    at = at + (step > 0)
+    for level in range(len(minima) - 1, -1, -1):
+        width, least = 1 << level, minima[level]
+        lo = at if step > 0 else at - width
+        inside = (lo >= 0) & (lo + width <= n)
+        skip = inside & (least[np.clip(lo, 0, len(least) - 1)] >= than)
+        at = at + np.where(skip, step * width, 0)
+    return at if step > 0 else at - 1
+
+
+def _longest(ids: np.ndarray, sa: np.ndarray, rank: np.ndarray, minima: list[np.ndarray], doc: np.ndarray, group: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Length of the longest factor at each position p that a smaller document has.
 
     Suffixes are sorted, so it is shared with the nearest suffix of a smaller
-    document above or below.  Only suffixes of the same group, which begin with
-    the same run, are looked at.
+    document above or below, if that begins with the same run.
     """
     best = np.zeros(len(p), np.int64)
     for step in (-1, 1):
-        at, who = rank[p].copy(), np.arange(len(p))
-        while len(who):
-            at += step
-            ok = (at >= 0) & (at < len(sa))
-            at, who = at[ok], who[ok]
-            ok = group[at] == group[rank[p[who]]]
-            at, who = at[ok], who[ok]
-            found = doc[sa[at]] < doc[p[who]]
-            w = who[found]
-            best[w] = np.maximum(best[w], _common(ids, p[w], sa[at[found]]))
-            at, who = at[~found], who[~found]
+        at = _smaller(minima, rank[p], doc[p], step)
+        w = np.flatnonzero((at >= 0) & (at < len(sa)))
+        w = w[group[at[w]] == group[rank[p[w]]]]
+        best[w] = np.maximum(best[w], _common(ids, p[w], sa[at[w]]))
     return best
 
 
@@ -190,6 +204,7 @@ def parse_block(tokens: np.ndarray, sizes: np.ndarray, docs: np.ndarray, min_tok
         return none
     # the parse: all segments at once, each at its own place
     padded = np.append(ids, np.full(32, -1)).astype(np.int32)
+    minima = _minima(doc[sa].astype(np.int32))
     seg = np.unique(own[hit])
     at = first[seg].copy()
     out: list[tuple[np.ndarray, ...]] = []
@@ -201,7 +216,7 @@ def parse_block(tokens: np.ndarray, sizes: np.ndarray, docs: np.ndarray, min_tok
         seg, p = seg[ok], p[ok]
         if not len(seg):
             break
-        length = _longest(padded, sa, rank, doc, group, p)
+        length = _longest(padded, sa, rank, minima, doc, group, p)
         good = length >= min_tokens  # a run that only its hash has in common is none
         out.append((seg[good], p[good], length[good]))
         at = p + np.where(good, length - min_tokens + 1, 1)
