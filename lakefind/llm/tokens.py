@@ -1,7 +1,10 @@
 """Vectorised word tokens for Arrow text columns.
 
-A token is a maximal run of letters, digits and non-ASCII characters of the
-lower-cased text; every other ASCII character separates tokens.  A whole batch
+A token is a maximal run of ASCII letters and digits and non-ASCII characters of
+the lower-cased text.  Other ASCII characters separate tokens, and so do the
+non-ASCII spaces and punctuation: U+0080 to U+00BF (but for the letters ª, µ, º),
+U+2000 to U+206F, U+3000 to U+303F, and the wide forms of ASCII punctuation.  Han
+and kana, which are written without spaces, are tokens of one character each.  A whole batch
 of texts is tokenised at once on its UTF-8 bytes, so the cost per byte stays in
 numpy and no Python string is made.  Token hashes are 64-bit and depend on the
 token alone, never on the batch or the process.
@@ -18,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-TOKEN_RE = r"[0-9a-z\x{80}-\x{10FFFF}]+"
+TOKEN_RE = r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]|[0-9a-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{1FFF}\x{2070}-\x{2FFF}\x{3100}-\x{33FF}\x{A000}-\x{FEFE}\x{FF10}-\x{FF19}\x{FF21}-\x{10FFFF}]+"
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -137,22 +140,54 @@ def as_strings(col) -> pa.Array:
 _STEM = np.uint64(0x5851F42D4C957F2D)
 
 
-def _tokenize_bytes(data: np.ndarray, off: np.ndarray, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
-    """Token counts of the texts data[off[i]:off[i+1]], token hashes, starts, ends and stem hashes."""
+def _starts_and_ends(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where tokens begin, and where their last byte is, as masks over the bytes of texts."""
     n = len(data)
-    if not n:
-        none = np.zeros(0, np.int64)
-        return (np.zeros(len(off) - 1, np.int64), np.zeros(0, np.uint64), none, none, *(np.zeros(0, np.uint64) for _ in stems))
     word = _WORD[data]
+    alone = np.zeros(0, np.int64)
+    if data.max() >= 0xC2:
+        more = [np.append(data[k:], np.zeros(k, np.uint8)) for k in (1, 2)]
+
+        def clear(lead: np.ndarray, size: int) -> None:
+            for k in range(size):
+                word[lead + k] = False
+
+        two = np.flatnonzero(data == 0xC2)
+        if len(two):
+            x = more[0][two]
+            clear(two[(x != 0xAA) & (x != 0xB5) & (x != 0xBA)], 2)
+        three = np.flatnonzero((data >= 0xE2) & (data <= 0xEF))
+        if len(three):
+            x, y, z = data[three], more[0][three], more[1][three]
+            dash = (x == 0xE2) & ((y == 0x80) | (y == 0x81) & (z < 0xB0))
+            wide = (x == 0xEF) & ((y == 0xBC) & ((z < 0x90) | (z > 0x99) & (z < 0xA1)) | (y == 0xBB) & (z == 0xBF))
+            clear(three[dash | wide | (x == 0xE3) & (y == 0x80)], 3)
+            alone = three[(x >= 0xE4) & (x <= 0xE9) | (x == 0xE3) & ((y >= 0x81) & (y <= 0x83) | (y >= 0x90))]
     starts = word.copy()
     starts[1:] &= ~word[:-1]
+    ends = word.copy()
+    ends[:-1] &= ~word[1:]
+    if len(alone):
+        starts[alone] = True
+        ends[alone + 2] = True
+        after, before = alone[alone + 3 < n] + 3, alone[alone > 0] - 1
+        starts[after] = word[after]
+        ends[before] = word[before]
     # a text's first byte starts a token even if the text before ended in one
     first = off[:-1][off[:-1] < n]
     starts[first] = word[first]
-    ends = word.copy()
-    ends[:-1] &= ~word[1:]
     last = off[1:][off[1:] > 0] - 1
     ends[last] = word[last]
+    return starts, ends
+
+
+def _tokenize_bytes(data: np.ndarray, off: np.ndarray, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Token counts of the texts data[off[i]:off[i+1]], token hashes, starts, ends and stem hashes."""
+    n = len(data)
+    if not n:
+        none = np.zeros(0, np.int64)
+        return (np.zeros(len(off) - 1, np.int64), np.zeros(0, np.uint64), none, none, *(np.zeros(0, np.uint64) for _ in stems))
+    starts, ends = _starts_and_ends(data, off)
     s = np.flatnonzero(starts)
     e = np.flatnonzero(ends) + 1
     prefix = prefix_hash(_BYTE[data])
@@ -199,11 +234,7 @@ def token_counts(col) -> np.ndarray:
         j = max(i + 1, int(np.searchsorted(off, off[i] + _PIECE, "right")) - 1)
         piece, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
         if len(piece):
-            starts = _WORD[piece]
-            word = starts.copy()
-            starts[1:] &= ~word[:-1]
-            first = at[:-1][at[:-1] < len(piece)]
-            starts[first] = word[first]
+            starts, _ = _starts_and_ends(piece, at)
             parts.append(np.diff(np.append(0, np.cumsum(starts))[at]))
         else:
             parts.append(np.zeros(j - i, np.int64))

@@ -31,7 +31,7 @@ CLASH = ("d", "t", "h", "x", "n", "i", "k", "f", "a.b", "lf_gone", "lf_host", "l
 
 
 def words(text):
-    return re.findall("[0-9a-z\u0080-\U0010ffff]+", (text or "").lower())
+    return re.findall("[\u3040-\u30ff\u3400-\u9fff]|[0-9a-z\u00aa\u00b5\u00ba\u00c0-\u1fff\u2070-\u2fff\u3100-\u33ff\ua000-\ufefe\uff10-\uff19\uff21-\U0010ffff]+", (text or "").lower())
 
 
 def docs_of(spark, rows, clash=True):
