@@ -87,6 +87,7 @@ class VersionedTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self.fs = Files(spark, self.path)
+        self._last: Snapshot | None = None  # commits never change, so the newest one read is kept
 
     def _log(self, v: int) -> str:
         return f"log/{v:020d}.json"
@@ -107,6 +108,8 @@ class VersionedTable:
             version = last
         if version < 0 or version > last:
             raise TableError(f"table {self.path} has no version {version}")
+        if self._last is not None and self._last.version == version:
+            return self._last
         base = max((int(n.split(".")[0]) for n in self.fs.names("checkpoints") if int(n.split(".")[0]) <= version), default=-1)
         s = Snapshot(-1)
         if base >= 0:
@@ -121,10 +124,12 @@ class VersionedTable:
                 s.files.pop(p, None)
             s.files |= x["add"]
             s.schema, s.meta, s.version = x["schema"] or s.schema, x["meta"], v
+        if self._last is None or version > self._last.version:
+            self._last = s
         return s
 
     def meta(self) -> dict:
-        return self.snapshot().meta
+        return dict(self.snapshot().meta)
 
     def schema(self, version: int | None = None) -> T.StructType:
         s = self.snapshot(version)
