@@ -105,6 +105,10 @@ def _cast(x: Column, t: T.DataType, kind: str) -> Column:
     return x.cast("string")
 
 
+def _caster(t: T.DataType, kind: str):
+    return lambda x: _cast(x, t, kind)
+
+
 def build(docs: DataFrame, schema: Schema) -> DataFrame:
     """Typed documents of the columns ``_id`` and ``_source``; other columns are kept.
 
@@ -132,7 +136,7 @@ def build(docs: DataFrame, schema: Schema) -> DataFrame:
                 if many:
                     items = v if isinstance(t, T.ArrayType) else F.when(v.isNotNull(), F.array(v))
                     each = t.elementType if isinstance(t, T.ArrayType) else t
-                    values[name] = F.transform(F.filter(items, lambda x: x.isNotNull()), lambda x, t=each, k=kind: _cast(x, t, k))
+                    values[name] = F.transform(F.filter(items, lambda x: x.isNotNull()), _caster(each, kind))
                     bad = F.exists(c, lambda x: x.isNull())
                 else:
                     values[name] = _cast(v, t, kind)

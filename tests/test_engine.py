@@ -289,3 +289,90 @@ def test_term_dictionary(spark, engine, tmp_path):
     hits = idx.hits("body:w3", limit=1, score=True)
     idx.sync(max_segments=2)
     assert hits == idx.hits("body:w3", limit=1, score=True)
+
+
+def test_typed_and_json_documents_agree(spark):
+    """Columns cast as they are give what their JSON gives when it is parsed."""
+    import datetime as dt
+
+    from lakefind.operators import documents as d
+
+    rows = [
+        ("1", "x", 1, 2.5, True, dt.datetime(2024, 1, 15, 10, 30), dt.date(2024, 1, 15), "2024-01-15T10:00:00Z", "10.0.0.1", ["a", None, "b"], [1, 2], ("p", 7)),
+        ("2", None, None, None, None, None, None, None, None, None, None, None),
+        (None, "y", -3, 1e20, False, dt.datetime(1969, 12, 31, 23, 59, 59, 123456), dt.date(2000, 2, 29), "no date", "no ip", [], [None], (None, None)),
+    ]
+    df = spark.createDataFrame(rows, "_id string, s string, i int, f double, b boolean, t timestamp, d date, ts string, ip string, l array<string>, n array<int>, o struct<p: string, q: int>")
+    fields = {
+        "s": "keyword", "i": "numeric", "f": "numeric", "b": "boolean", "t": "date", "d": "date", "ts": "date", "ip": "ip", "l": "keyword", "n": "numeric", "o.p": "keyword", "o.q": "numeric", "o": "keyword", "gone": "text",
+    }
+    for kinds in (fields, {**fields, "i": "keyword", "f": "keyword", "b": "keyword", "d": "keyword", "s": "numeric", "t": "boolean", "l": "ip", "n": "keyword"}):
+        schema = Schema(kinds, {"l", "n"})
+        typed = d.source_of(df.where("_id is not null"))
+        one, two = (sorted(map(str, d.build(x, schema).select(*d.column_names(schema), "_error").collect())) for x in (typed, typed.drop(d.ROW)))
+        assert one == two
+    assert d.array_fields(d.source_of(df), Schema(fields)) == {"l", "n"}
+
+
+def test_merges_leave_one_segment(spark, engine, tmp_path, monkeypatch):
+    """A segment may have several files; the old ones are gone, a write under way is not."""
+    import lakefind.engine
+
+    monkeypatch.setattr(lakefind.engine, "MERGE_ROWS", 20)
+    rows = spark.range(100).select(F.col("id").cast("string").alias("_id"), F.concat(F.lit("text "), F.col("id")).alias("body"))
+    idx = engine.create("m", {"fields": {"body": "text"}})
+    for lo in (0, 50):
+        idx.index(rows.where(f"cast(_id as int) >= {lo} and cast(_id as int) < {lo + 50}").repartition(4))
+    assert idx.stats()["num_segments"] >= 2
+    pending = f"data/{idx.table.version() + 5:020d}-feed"
+    idx.table.fs.write(f"{pending}/part-0.parquet", "x")
+    assert idx.force_merge() == 1 and idx.stats()["num_segments"] == 1 and len(idx.table.snapshot().files) > 1
+    assert [len(idx.table.fs.names(n)) for n in ("data", "terms")] == [2, 1] and idx.table.fs.exists(f"{pending}/part-0.parquet")
+    assert len(idx.hits("body:text", limit=1000)) == 100 and idx.get("7")["body"] == "text 7"
+    idx.index(rows.where("_id = '7'").withColumn("body", F.lit("new")))
+    assert idx.get("7")["body"] == "new" and idx.stats()["num_docs"] == 100 and idx.force_merge() == 1 and idx.force_merge() == 0
+
+
+def test_a_failed_merge_is_put_off(spark, engine, tmp_path, monkeypatch, caplog):
+    path = f"file://{tmp_path}/source"
+    t = VersionedTable(spark, path)
+    t.overwrite(labs(spark, ROWS))
+    idx = engine.create("f", source=path)
+    monkeypatch.setattr(idx, "_merge", lambda *a: 1 / 0)
+    assert idx.sync(segment_size=1, max_segments=2) == 5 and idx.metrics["merge_failures"] == 1 and "merge failed" in caplog.text
+    monkeypatch.undo()
+    assert engine.open("f").stats()["compaction"] | {"last_segment_at": 0} == {"segment_size": 1, "merge_interval_secs": 300.0, "max_segments": 2, "last_segment_at": 0, "last_merge_at": None}
+    t.append(labs(spark, [("d9", "new", 1.0)]))
+    again = engine.open("f")
+    assert again.sync() == 1 and again.stats()["compaction"]["max_segments"] == 2 and again.metrics["merges"] == 1 and again.stats()["compaction"]["last_merge_at"]
+    assert again.sync(once=False, polls=2, poll_interval=0.0) == 0 and again.metrics["polls"] == 3 and again.metrics["poll_seconds_count"] == 3
+
+
+def test_bad_documents_leave_no_staging(engine, tmp_path):
+    idx = engine.create("s", {"fields": {"n": "numeric"}})
+    (tmp_path / "bad.ndjson").write_text('{"_id":"b","n":"x"}\n')
+    with pytest.raises(DocumentError):
+        idx.index(str(tmp_path / "bad.ndjson"))
+    assert not [n for n in engine.fs.names("s") if n.startswith("staging")]
+
+
+def test_order_of_a_dataframe(spark, engine):
+    df = spark.createDataFrame([("a", "old", 1), ("a", "new", 2), ("a", "older", 0)], "_id string, v string, at int").repartition(3)
+    idx = engine.create("o", {"fields": {"v": "keyword"}})
+    idx.index(df, order_by="at")
+    assert idx.get("a")["v"] == "new"
+    with pytest.raises(SchemaError):
+        idx.index(df, order_by="nope")
+
+
+def test_ingest_of_lines_and_of_nothing(spark, tmp_path):
+    from lakefind import Lines
+
+    t = f"file://{tmp_path}/t"
+    assert ingest(spark, Lines(["a,b", "1,x"], "csv"), t) == 0 and VersionedTable(spark, t).read().count() == 1
+    (tmp_path / "empty.ndjson").write_text("\n")
+    assert ingest(spark, str(tmp_path / "empty.ndjson"), t) is None and VersionedTable(spark, t).version() == 0
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.csv").write_text("y,z\n3,4\n")
+    ingest(spark, str(tmp_path / "*.csv"), t)
+    assert sorted(map(tuple, VersionedTable(spark, t).read().select("x", "y", "z").collect()), key=str) == [(1, 2, None), (None, 3, 4)]

@@ -281,3 +281,45 @@ def test_random_trees(spark):
     rows = df.select("_id", *[matching(c, query_tree(c.schema, dsl=t)).alias(f"t{i}") for i, t in enumerate(trees)]).collect()
     for i, t in enumerate(trees):
         assert [r["_id"] for r in rows if r[f"t{i}"]] == [d["_id"] for d in docs if _plain(t, d)], t
+
+
+def test_texts_are_cut_once(spark):
+    """One expression cuts the texts, whatever clauses and scores look at; texts that cannot match are not cut."""
+    rows = [(i, f"word{i} common {'rare' if i % 9 == 0 else 'other'} thing") for i in range(60)]
+    c = Corpus(spark.createDataFrame(rows, "id int, body string"), Schema({"body": "text"}), "id", "simple")
+    for q in ("body:common body:rare body:thing", '+body:"common rare" +body:thing -body:word9', 'body:"common thing"~3 OR body:word1'):
+        hits = search(c, q, score=True, limit=5)
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("regexp_extract_all") == 1 and hits.count() == 5
+        assert plan.index("Contains(lower(body") > plan.index("regexp_extract_all")  # below it, that is, before
+    stem = Corpus(c.df, c.schema, "id", "en_stem")
+    assert ids(stem, "body:things", limit=100) == ids(c, "body:thing", limit=100) and len(ids(stem, "+body:words +body:rare", limit=100)) == 0
+
+
+def test_every_word_begins_as_its_stem_says():
+    from lakefind.functions.stemmer import beginning, stem
+
+    ends = ("", "s", "es", "ed", "ing", "ly", "edly", "ingly", "ies", "ied", "ation", "ational", "ization", "izer", "ously", "ousness", "iveness", "ivity", "ability", "ably", "fulness", "alism", "ality", "ance", "ency", "ement", "ogy", "ical", "icate", "iest")
+    words = [b + a + z for b in ("hop", "hope", "run", "ti", "ski", "sk", "d", "ly", "happ", "cr", "gener", "commun", "arsen", "b", "ab", "agre", "ug", "idl", "earl", "gentl", "relat", "oper", "é") for a in ends for z in ("", "s", "ed", "ing", "ly")]
+    assert [w for w in words if not w.startswith(beginning(stem(w)))] == []
+
+
+def test_top_hits_and_missing(spark):
+    rows = [(1, "a", 3.0, "2024-01-01T00:00:00Z"), (2, "a", None, None), (3, "b", 9.0, "2024-02-01T00:00:00Z"), (4, None, 5.0, None), (5, "a", 7.0, "2024-01-09T00:00:00Z")]
+    df = spark.createDataFrame(rows, "_id int, k string, v double, t string").withColumn("at", F.to_timestamp("t")).drop("t")
+    c = Corpus(df, Schema({"k": "keyword", "v": "numeric", "at": "date"}))
+    got = aggregate(c, {"by": {"terms": {"field": "k", "missing": "none"}, "aggs": {"best": {"top_hits": {"size": 2, "sort": [{"v": "desc"}], "_source": ["v"]}}, "s": {"sum": {"field": "v", "missing": 100}}}}})
+    by = {b["key"]: b for b in got["by"]["buckets"]}
+    assert [h["_id"] for h in by["a"]["best"]["hits"]["hits"]] == [5, 1] and by["a"]["best"]["hits"]["total"] == {"value": 3} and by["a"]["best"]["hits"]["hits"][0] == {"_id": 5, "v": 7.0}
+    assert by["none"]["doc_count"] == 1 and by["a"]["s"]["value"] == 110.0
+    top = aggregate(c, {"h": {"top_hits": {"size": 2, "from": 1, "sort": "v"}}, "n": {"date_histogram": {"field": "at", "fixed_interval": "31d", "missing": "2024-01-02"}}})
+    assert [h["_id"] for h in top["h"]["hits"]["hits"]] == [4, 5] and sum(b["doc_count"] for b in top["n"]["buckets"]) == 5
+    for bad in ({"h": {"top_hits": {"size": -1}}}, {"h": {"top_hits": {"sort": [3]}}}, {"h": {"top_hits": {"_source": "v"}}}):
+        with pytest.raises(QueryParseError):
+            aggregate(c, bad)
+
+
+def test_too_many_buckets_stop_before_the_driver(spark):
+    c = Corpus(spark.range(70_000).select(F.col("id").alias("_id"), F.col("id").cast("double").alias("v")), Schema({"v": "numeric"}))
+    with pytest.raises(QueryParseError, match="more than"):
+        aggregate(c, {"h": {"histogram": {"field": "v", "interval": 1}}})
