@@ -54,6 +54,7 @@ def test_the_rest_stands_without_the_subpackage(tmp_path):
 
     shutil.copytree(ROOT / "lakefind", tmp_path / "lakefind", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    (tmp_path / "lakefind/llm/__pycache__").mkdir(parents=True)  # what a deleted folder may leave behind
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True, timeout=300)
     assert out.returncode == 0, out.stderr
     assert out.stdout.split() == [str(len(q.queries())), str(len(q.oracle_sql()))]
