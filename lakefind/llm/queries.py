@@ -103,11 +103,11 @@ FROM found WHERE n_tokens >= least(13, size)
 """
 
 SQL_2 = r"""
-WITH l AS (SELECT doc_id, source, i, line, trim(line) AS k
-           FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+WITH l AS (SELECT doc_id, source, page, i, line, trim(line) AS k
+           FROM (SELECT doc_id, source, md5(text) AS page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
                  FROM documents WHERE text IS NOT NULL AND source IS NOT NULL)),
-pages AS (SELECT source, count(*) AS total FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY source),
-bad AS (SELECT source, k FROM (SELECT source, k, count(DISTINCT doc_id) AS n FROM l WHERE k <> '' GROUP BY source, k) JOIN pages USING (source)
+pages AS (SELECT source, count(DISTINCT text) AS total FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY source),
+bad AS (SELECT source, k FROM (SELECT source, k, count(DISTINCT page) AS n FROM l WHERE k <> '' GROUP BY source, k) JOIN pages USING (source)
         WHERE n >= 5 AND n > 0.002 * total),
 kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) FILTER (bad.k IS NULL) AS t, count(bad.k) AS dropped
          FROM l LEFT JOIN bad ON l.source = bad.source AND l.k = bad.k GROUP BY l.doc_id)

@@ -13,8 +13,8 @@ Defined results
 ---------------
 * Lines are what newlines separate; they are compared without leading and
   trailing blanks.  A blank line is never boilerplate.
-* A line counts once for each row (page) it occurs in.  Repeated rows are pages
-  of their own.
+* A line counts once for each different text (page) of the host it occurs in:
+  copies of a page are one page, since a text that is copied often is no template.
 * A line is boilerplate if it is on at least ``min_line_pages`` pages of the host
   and on more than ``ratio`` of them.  That is the rule on hosts of any size; a
   line on fewer pages is no sign of a template anywhere.
@@ -44,8 +44,8 @@ def boilerplate(docs: DataFrame, *, host: str, text: str, ratio: float, min_line
     pages = docs.select(col(docs, host).alias("h"), col(docs, text).alias("t")).where(F.col("h").isNotNull() & F.col("t").isNotNull())
     blank = F.xxhash64(F.lit(""))
     # a marker stands for the page itself, so that lines and pages are counted by one aggregation
-    lines = pages.select("h", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), F.array_distinct(_hashes(F.col("t"))))).alias("x")).where(F.col("x").isNull() | (F.col("x") != blank))
-    counts = lines.groupBy("h", "x").agg(F.count(F.lit(1)).alias("n"))
+    lines = pages.select("h", F.xxhash64("t").alias("page"), F.explode(F.concat(F.array(F.lit(None).cast("bigint")), F.array_distinct(_hashes(F.col("t"))))).alias("x")).where(F.col("x").isNull() | (F.col("x") != blank))
+    counts = lines.groupBy("h", "x").agg(F.count_distinct("page").alias("n"))
     frequent = counts.where(F.col("x").isNull() | (F.col("n") >= min_line_pages))
     frequent, _ = written(frequent)
     totals = frequent.where(F.col("x").isNull()).select("h", F.col("n").alias("total"))

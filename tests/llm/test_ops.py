@@ -131,8 +131,9 @@ def test_op1(spark, odd, none):
 
 
 def brute_lines(rows, ratio=0.002, least=5):
-    pages = Counter(s for _, t, s in rows if t is not None and s is not None)
-    have = Counter((s, line) for _, t, s in rows if t is not None and s is not None for line in {x.strip(" ") for x in t.split("\n")} if line)
+    texts = {(s, t) for _, t, s in rows if t is not None and s is not None}
+    pages = Counter(s for s, _ in texts)
+    have = Counter((s, line) for s, t in texts for line in {x.strip(" ") for x in t.split("\n")} if line)
     bad = {k for k, n in have.items() if n >= least and n > ratio * pages[k[0]]}
     out = []
     for d, t, s in rows:
@@ -178,6 +179,13 @@ def test_op2_small_hosts(spark):
     assert all(("All rights" in t) == (d // 1000 == 4) for d, t in got.items()) and all("own" in t for t in got.values())
 
 
+def test_op2_copies_are_one_page(spark):
+    """A page that a host has a hundred times keeps its lines; what different pages share goes."""
+    rows = [(i, "copied text\nof two lines\nfooter", "h") for i in range(100)] + [(200 + i, f"own {i}\nfooter", "h") for i in range(10)]
+    got = {r["doc_id"]: r["text"] for r in site_lines.drop_boilerplate(docs_of(spark, rows)).collect()}
+    assert got == dict(brute_lines(rows)) and got[5] == "copied text\nof two lines" and got[203] == "own 3"
+
+
 def test_groups_are_attached_alike_by_broadcast_and_by_salt(spark):
     from lakefind.llm import common
 
