@@ -36,8 +36,9 @@ from .sources.table import SEQ, VersionedTable
 SEGMENT_SIZE = 10_000
 MAX_SEGMENTS = 10
 MERGE_INTERVAL = 300.0
-#: Documents that one task writes when segments are merged.
+#: Documents, and bytes of segments, that one task reads and writes when segments are merged.
 MERGE_ROWS = 1_000_000
+MERGE_BYTES = 128 << 20
 
 log = logging.getLogger("lakefind")
 
@@ -228,9 +229,9 @@ class Index:
     def _compaction(self) -> dict:
         return self._meta().get("compaction") or {"segment_size": SEGMENT_SIZE, "merge_interval_secs": MERGE_INTERVAL, "max_segments": MAX_SEGMENTS, "last_segment_at": None, "last_merge_at": None}
 
-    def _write(self, docs: DataFrame, struct, segment_size: int = 0, merged: bool = False) -> dict[str, int]:
+    def _write(self, docs: DataFrame, struct, segment_size: int = 0) -> dict[str, int]:
         """New segments and their term dictionary."""
-        files = self.table.write_files(docs, max_rows=segment_size, merged=merged)
+        files = self.table.write_files(docs, max_rows=segment_size)
         terms.write(self.table, files, struct)
         return files
 
@@ -365,7 +366,7 @@ class Index:
     # -- segments ------------------------------------------------------------
 
     def _merge(self, groups: list[list[str]], gc: bool) -> int:
-        """Make one segment of each group of segments; tasks write MERGE_ROWS documents each."""
+        """Make one segment of each group of segments; a task has MERGE_BYTES, or what MERGE_ROWS documents take, at most."""
         s = self.table.snapshot()
         parts = self.table.segments(s)
         struct = documents.empty_struct(self.schema)
@@ -373,8 +374,10 @@ class Index:
         began = time.monotonic()
         for g in groups:
             paths = [p for name in g for p in parts[name]]
-            tasks = max(1, -(-sum(s.files[p] for p in paths) // MERGE_ROWS))
-            add |= self._write(self.table.files(paths, struct).coalesce(tasks), struct, merged=True)
+            size, rows = self.table.size_of(paths), sum(s.files[p] for p in paths)
+            files = self.table.merge_files(paths, struct, min(MERGE_BYTES, -(-size * MERGE_ROWS // max(1, rows))))
+            terms.write(self.table, files, struct)
+            add |= files
         meta = self._meta()
         meta["compaction"] = self._compaction() | {"last_merge_at": datetime.now(UTC).isoformat(timespec="seconds")}
         self.table.commit(add, [p for g in groups for name in g for p in parts[name]], meta=meta, expected=s.version)

@@ -26,6 +26,10 @@ class Files:
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self.path(name)))
 
+    def sizes(self, name: str = "") -> dict[str, int]:
+        """The bytes of each file in a folder."""
+        return {s.getPath().getName(): s.getLen() for s in self._fs.listStatus(self.path(name))}
+
     def read(self, name: str) -> str:
         stream = self._fs.open(self.path(name))
         try:

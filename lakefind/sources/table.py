@@ -181,6 +181,34 @@ class VersionedTable:
         counts = files.groupBy(F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()
         return dict(sorted((data_file(r["f"]), r["n"]) for r in counts))
 
+    def size_of(self, paths) -> int:
+        """Bytes of some data files; each folder is listed once."""
+        have: dict[str, dict[str, int]] = {}
+        total = 0
+        for p in paths:
+            folder, name = p.rsplit("/", 1)
+            if folder not in have:
+                have[folder] = self.fs.sizes(folder)
+            total += have[folder][name]
+        return total
+
+    def merge_files(self, paths, schema: T.StructType, task_bytes: int) -> dict[str, int]:
+        """Write the rows of some data files anew, as one segment: its files and their row counts.
+
+        The scan packs whole files and pieces of large ones into tasks of at most
+        task_bytes (a row group is never cut), so no task grows with the segment.
+        """
+        settings = {"maxPartitionBytes": f"{task_bytes}b", "openCostInBytes": "0b", "minPartitionNum": "1"}
+        settings = {f"spark.sql.files.{k}": v for k, v in settings.items()}
+        before = {k: self.spark.conf.get(k, None) for k in settings}
+        try:
+            for k, v in settings.items():
+                self.spark.conf.set(k, v)
+            return self.write_files(self.files(paths, schema), merged=True)
+        finally:
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+
     def commit(self, add: dict[str, int], remove=(), *, schema: T.StructType | None = None, meta: dict | None = None, expected: int | None = None) -> int:
         """Make the next version; expected is the version the change was made from."""
         last = self.version() if expected is None else expected

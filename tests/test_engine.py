@@ -333,6 +333,30 @@ def test_merges_leave_one_segment(spark, engine, tmp_path, monkeypatch):
     assert idx.get("7")["body"] == "new" and idx.stats()["num_docs"] == 100 and idx.force_merge() == 1 and idx.force_merge() == 0
 
 
+def test_a_merge_task_has_few_bytes(spark, engine, monkeypatch):
+    """However few documents there are, no task of a merge takes more than its bytes of them; small segments become one file."""
+    import lakefind.engine
+
+    rows = spark.range(400, numPartitions=1).select(F.col("id").cast("string").alias("_id"), F.concat_ws(" ", *[F.sha2(F.concat("id", F.lit(f"-{i}")), 256) for i in range(8)]).alias("body"))
+    idx = engine.create("b", {"fields": {"body": "text"}})
+    for lo in (0, 100, 200, 300):
+        idx.index(rows.where(f"cast(_id as int) >= {lo} and cast(_id as int) < {lo + 100}").coalesce(1))
+    files = list(idx.table.snapshot().files)
+    largest, total = max(idx.table.size_of([f]) for f in files), idx.table.size_of(files)
+    before = sorted(map(tuple, idx.table.read().collect()))
+    settings = {k: spark.conf.get(f"spark.sql.files.{k}", None) for k in ("maxPartitionBytes", "openCostInBytes", "minPartitionNum")}
+    bound = total // 3
+    assert largest <= bound
+    monkeypatch.setattr(lakefind.engine, "MERGE_BYTES", bound)
+    assert idx.force_merge() == 1 and idx.stats()["num_segments"] == 1 and sorted(map(tuple, idx.table.read().collect())) == before
+    merged = list(idx.table.snapshot().files)
+    assert len(merged) >= 3 and max(idx.table.size_of([f]) for f in merged) <= 1.2 * bound
+    assert settings == {k: spark.conf.get(f"spark.sql.files.{k}", None) for k in settings}
+    monkeypatch.undo()
+    idx.index(rows.where("_id = '7'"))
+    assert idx.force_merge() == 1 and len(idx.table.snapshot().files) == 1 and sorted(map(tuple, idx.table.read().collect())) == before
+
+
 def test_a_failed_merge_is_put_off(spark, engine, tmp_path, monkeypatch, caplog):
     path = f"file://{tmp_path}/source"
     t = VersionedTable(spark, path)
